@@ -23,12 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def save(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df as parquet into the shared folder and read it back: cuts lineage, survives a lost executor."""
+def save(spark: SparkSession, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df as parquet into the shared folder and read it back: cuts lineage, survives a lost executor.
+
+    release() leaves a table alone that was saved with keep.
+    """
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark).rstrip('/')}/{app}-tables/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _SAVED.setdefault(app, []).append(path)
+    if not keep:
+        _SAVED.setdefault(app, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
