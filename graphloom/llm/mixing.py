@@ -93,9 +93,9 @@ def balance(spark: SparkSession, sizes: DataFrame, sources: DataFrame, cap: floa
     return state.withColumn("lam", F.when(~F.col("fixed"), F.col("lam"))).select("skey", "source_size", "target", "mean", "lam")
 
 
-def rounded(sizes: DataFrame, solved: DataFrame, docs_of: DataFrame, cap: int = CAP) -> DataFrame:
+def rounded(sizes: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFrame:
     """sizes(id, h, skey, size) with source_size, target, rate and copies."""
-    state = solved.join(docs_of, "skey").select(F.col("skey").alias("k"), "source_size", "target", "mean", "lam", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    state = solved.select(F.col("skey").alias("k"), "source_size", "target", "mean", "lam", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
     rows = sizes.join(state, F.col("skey") == F.col("k"))
     rate = F.when(F.col("lam").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))))
     rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("block", F.pmod(F.col("h"), F.greatest("blocks", F.lit(1))))
@@ -114,7 +114,8 @@ def copies_of(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     text = docs[f"`{text_col}`"]
     sizes = save(spark, docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{id_col}`"], text).alias("h"), source_key(docs[f"`{source_col}`"]).alias("skey"), words(text).alias("size")), "sizes")
     aims = targets(spark, sizes, weights, share, cap)
-    return rounded(sizes, balance(spark, sizes, aims, cap), sizes.groupBy("skey").agg(F.count("*").alias("rows")), cap)
+    solved = save(spark, balance(spark, sizes, aims, cap).join(sizes.groupBy("skey").agg(F.count("*").alias("rows")), "skey"), "rates")
+    return rounded(sizes, solved, cap)
 
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
