@@ -3,11 +3,13 @@
 A document is the set of hashes of its word n-grams. Documents link when the Jaccard
 similarity of their sets is at least num/den; classes are the connected components.
 
-Sketches. In the band of its size a set has S words of 64 bits: each n-gram picks, by
-its hash, a word and a bit of it and flips the bit. The sketch of two sets' symmetric
-difference is the XOR of their sketches, so their Hamming distance, and all the more the
-number of words that differ, is at most the size of that difference, which for linked
-sets of a band is at most d. With S = d + 2 words two linked sets agree in two words at
+Sketches. In the band of its size a set has S words of 64 bits: each n-gram picks a word
+by its hash and flips bits of it. Of the words there are two kinds. In the parity sketch
+an n-gram flips one bit; the sketch of two sets' symmetric difference is the XOR of their
+sketches, so their Hamming distance is at most the size of that difference, which for
+linked sets of a band is at most d. In the join key an n-gram flips all bits of its
+64-bit hash, so words that hold different n-grams differ even where few n-grams fall
+into them. Of either kind, no more words differ than n-grams do. With S = d + 2 words two linked sets agree in two words at
 least (pigeonhole), so a set may leave out one word that no n-gram fell into; a set with
 more such words leaves out none. A set sends its words, hashed with band and place, for
 its own band and for those above that a linked larger set can be in. Sets too small to
@@ -163,23 +165,25 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(total)
 
 
-def sketch(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parity words, n-grams in each word)."""
+def sketch(grams: np.ndarray, size: int) -> np.ndarray:
+    """Parity words: each n-gram flips one bit of the word that its hash picks."""
     word = ((grams >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
     hits = np.bincount(word * 64 + (grams & np.uint64(63)).astype(np.int64), minlength=size * 64)
-    bits = np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint64)
-    return bits, hits.reshape(size, 64).sum(axis=1)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def sent(grams: np.ndarray, join: Join) -> np.ndarray:
-    """The bucket keys of a set."""
+    """The bucket keys of a set: for each word of each of its bands, the XOR of its n-grams' hashes."""
     keys = []
     for band, size in join.of(len(grams)):
-        bits, hits = sketch(grams, size)
-        place = mix(np.arange(size, dtype=np.uint64) + np.uint64(band << 32))
-        key = mix(bits ^ place)
-        empty = hits == 0
-        keys.append(key[~empty] if empty.sum() <= 1 else key)
+        word = ((grams >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)  # ascending, as the n-grams are
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        key = np.bitwise_xor.reduceat(grams, first)
+        place = word[first]
+        if size - len(first) > 1:  # words without n-grams are sent too
+            rest = np.setdiff1d(np.arange(size), place)
+            key, place = np.concatenate((key, np.zeros(len(rest), np.uint64))), np.concatenate((place, rest))
+        keys.append(mix(key ^ mix(place.astype(np.uint64) + np.uint64(band << 32))))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
@@ -221,7 +225,7 @@ def full_sets(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches):
         for part in runs(batches):
             sets = sets_of(part.column(1).to_pylist(), join)
-            sketches = [[{"band": k, "bits": sketch(g, size)[0].tobytes()} for k, size in join.of(len(g))] for g in sets]
+            sketches = [[{"band": k, "bits": sketch(g, size).tobytes()} for k, size in join.of(len(g))] for g in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))), pa.array([g.tobytes() for g in sets], pa.binary())], ["id", "n", "sketches", "grams"]
             )
