@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from graphloom.plans import graph, history, relational, retrieval  # noqa: F401  they register their queries
+from graphloom.plans.query import FOUND, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
