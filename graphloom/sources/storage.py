@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,12 +34,26 @@ def save(spark: SparkSession, df: DataFrame, label: str, keep: bool = False) ->
     df.write.parquet(path)
     if not keep:
         _SAVED.setdefault(app, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def reclaim(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and let the driver's collector find shuffle files of finished jobs."""
+    for df in done:
+        _SAVED.get(spark.sparkContext.applicationId, []).remove(df.saved_at)
+        _delete(spark, df.saved_at)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that save() wrote in this session. Results that still read them must be written before."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in _SAVED.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
