@@ -3,9 +3,9 @@
 A document is the set of hashes of its word n-grams. Documents link when the Jaccard
 similarity of their sets is at least num/den; classes are the connected components.
 
-Sketches. In the band of its size a set has S words of 64 bits: each n-gram picks a word
-by its hash and flips bits of it. Of the words there are two kinds. In the parity sketch
-an n-gram flips one bit; the sketch of two sets' symmetric difference is the XOR of their
+Sketches. In the band of its size (a factor of 1.3 wide) a set has S words: each n-gram picks a word
+by its hash and flips bits of it. Of the words there are two kinds. In the parity sketch,
+of 16 bits a word, an n-gram flips one bit; the sketch of two sets' symmetric difference is the XOR of their
 sketches, so their Hamming distance is at most the size of that difference, which for
 linked sets of a band is at most d. In the join key an n-gram flips all bits of its
 64-bit hash, so words that hold different n-grams differ even where few n-grams fall
@@ -41,12 +41,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 from graphloom.operators.components import connected_components
-from graphloom.sources.storage import save
+from graphloom.sources.storage import reclaim, save
 
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
 #: Buckets up to this size are paired without looking at sketches first; larger ones are cut into parts of PART.
 SMALL, PART = 48, 4096
+#: Bits of a parity word.
+BITS = 16
 P = 0x9E3779B97F4A7C15
 BASE = np.uint64(P)
 INVERSE = np.uint64(pow(P, -1, 1 << 64))
@@ -76,7 +78,7 @@ class Join:
         """(first size, last size) of each band up to a size; sets below the first band link with equals only."""
         out, first = [], -(-self.den // (self.den - self.num))
         while first <= most:
-            then = max(first + 1, -(-first * self.den * self.den * self.den // (self.num**3)))
+            then = max(first + 1, -(-first * 13 // 10))
             out.append((first, then - 1))
             first = then
         return out
@@ -168,8 +170,8 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 def sketch(grams: np.ndarray, size: int) -> np.ndarray:
     """Parity words: each n-gram flips one bit of the word that its hash picks."""
     word = ((grams >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-    hits = np.bincount(word * 64 + (grams & np.uint64(63)).astype(np.int64), minlength=size * 64)
-    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    hits = np.bincount(word * BITS + (grams & np.uint64(BITS - 1)).astype(np.int64), minlength=size * BITS)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint16)
 
 
 def sent(grams: np.ndarray, join: Join) -> np.ndarray:
@@ -243,7 +245,7 @@ def near(sketch_a: list[dict], sketch_b: list[dict], a: int, b: int, join: Join)
         return True
     band = own[0][0]
     mine = next(s["bits"] for s in sketch_a if s["band"] == band)
-    far = np.bitwise_count(np.frombuffer(mine, np.uint64) ^ np.frombuffer(other[band], np.uint64)).sum()
+    far = np.bitwise_count(np.frombuffer(mine, np.uint16) ^ np.frombuffer(other[band], np.uint16)).sum()
     return int(far) <= join.difference(a, b)
 
 
@@ -326,7 +328,7 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -
         alone = int(group.column("pa")[0].as_py()) == int(group.column("pb")[0].as_py())
         for band, rows in by.items():
             rows = np.array(rows)
-            bits = np.stack([np.frombuffer(next(x["bits"] for x in sketches[r] if x["band"] == band), np.uint64) for r in rows])
+            bits = np.stack([np.frombuffer(next(x["bits"] for x in sketches[r] if x["band"] == band), np.uint16) for r in rows])
             step = max(1, (1 << 22) // max(1, bits.size))
             for at in range(0, len(rows), step):
                 far = np.bitwise_count(bits[at : at + step, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
@@ -347,16 +349,19 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -
 def components(spark: SparkSession, docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component) of every row of docs."""
     narrow = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
-    scanned = save(spark, scan(narrow, join), "ngram-sets")
-    rows = scanned.select("id", "n", "digest")
+    scanned = save(spark, scan(narrow, join), "ngram-keys")
+    rows = save(spark, scanned.select("id", "n", "digest"), "ngram-sets")
     bucket = Window.partitionBy("key")
     members = scanned.where("id is not null").select("id", F.explode("keys").alias("key"))
     members = members.withColumn("center", F.min("id").over(bucket)).withColumn("m", F.count("*").over(bucket)).where("m > 1")
     members = save(spark, members.select("key", "id", "center", "m"), "ngram-buckets")
+    reclaim(spark, scanned)
     ids = members.select("id").distinct().withColumnRenamed("id", "of")
     sets = save(spark, full_sets(narrow.join(ids, F.col("id") == F.col("of"), "left_semi"), join), "ngram-candidates")
+    reclaim(spark)
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     links = save(spark, verified(stars, sets, join), "ngram-links")
+    reclaim(spark)
     same = rows.where("n > 0 and id is not null")
     first = same.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "a")
     equal = save(spark, same.join(first, F.col("digest") == F.col("of")).where("id <> a").select("a", F.col("id").alias("b")), "ngram-equal")
