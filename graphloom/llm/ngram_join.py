@@ -18,8 +18,8 @@ link with anything but an equal set send none. Equal sets meet by a digest.
 Pairs. In a bucket of equal words all members are paired with the smallest only, which
 keeps a large group linear. Pairs whose sketches are too far apart go; the others are
 verified on the full sets. Then only buckets that still hold more than one component are
-looked at again: their pairs across components are tried as well (in large buckets only
-those that pass the sketch test leave the task), so no link between components is lost.
+looked at again: their pairs across components are compared by sketch within the bucket, and those
+that pass leave the task and are verified, so no link between components is lost.
 
 Full sets are made again, from the text, for documents that have a candidate. Defined
 cases: a document with fewer words than n is its whole sequence as one n-gram; without
@@ -45,8 +45,8 @@ from graphloom.sources.storage import reclaim, save
 
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
-#: Buckets up to this size are paired without looking at sketches first; larger ones are cut into parts of PART.
-SMALL, PART = 48, 4096
+#: Buckets larger than this are compared in parts.
+PART = 4096
 #: Bits of a parity word.
 BITS = 16
 P = 0x9E3779B97F4A7C15
@@ -175,7 +175,7 @@ def sketch(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 def sent(grams: np.ndarray, join: Join) -> np.ndarray:
-    """The bucket keys of a set: for each word of each of its bands, the XOR of its n-grams' hashes."""
+    """The bucket keys of a set: for each word of each of its bands, the XOR of its n-grams' hashes; the band in the last byte."""
     keys = []
     for band, size in join.of(len(grams)):
         word = ((grams >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)  # ascending, as the n-grams are
@@ -185,7 +185,8 @@ def sent(grams: np.ndarray, join: Join) -> np.ndarray:
         if size - len(first) > 1:  # words without n-grams are sent too
             rest = np.setdiff1d(np.arange(size), place)
             key, place = np.concatenate((key, np.zeros(len(rest), np.uint64))), np.concatenate((place, rest))
-        keys.append(mix(key ^ mix(place.astype(np.uint64) + np.uint64(band << 32))))
+        key = mix(key ^ mix(place.astype(np.uint64) + np.uint64(band << 32)))
+        keys.append(key & ~np.uint64(255) | np.uint64(band))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
@@ -235,41 +236,49 @@ def full_sets(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, sketches array<struct<band:int,bits:binary>>, grams binary")
 
 
-def near(sketch_a: list[dict], sketch_b: list[dict], a: int, b: int, join: Join) -> bool:
-    """Whether the sketches allow a link."""
-    if min(a, b) * join.den < max(a, b) * join.num:
-        return False
-    other = {s["band"]: s["bits"] for s in sketch_b}
-    own = join.of(max(a, b))
-    if not own:
-        return True
-    band = own[0][0]
-    mine = next(s["bits"] for s in sketch_a if s["band"] == band)
-    far = np.bitwise_count(np.frombuffer(mine, np.uint16) ^ np.frombuffer(other[band], np.uint16)).sum()
-    return int(far) <= join.difference(a, b)
+def both_ends(pairs: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """pairs(a, b, ...) with the columns of side(id, ...) for either end; on: what must be equal besides the id."""
+    for end in ("a", "b"):
+        one = side.select(*[F.col(c).alias(f"{c}_{end}") for c in side.columns])
+        same = F.col(end) == F.col(f"id_{end}")
+        for c in on:
+            same = same & (F.col(c) == F.col(f"{c}_{end}"))
+        pairs = pairs.join(one, same).drop(f"id_{end}", *[f"{c}_{end}" for c in on])
+    return pairs
 
 
-def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that link: first by their sketches, then by their full sets."""
-    kind = dict(pairs.dtypes)["a"]
-    light = sets.select("id", "n", "sketches")
-
-    def both(of: DataFrame, side: DataFrame) -> DataFrame:
-        cols = [c for c in side.columns if c != "id"]
-        for end in ("a", "b"):
-            one = side.select(F.col("id").alias(f"id_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in cols])
-            of = of.join(one, F.col(end) == F.col(f"id_{end}")).drop(f"id_{end}")
-        return of
-
-    def pick(test):
-        def run(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    keep = [test(*row.values()) for row in part.select(part.schema.names[2:]).to_pylist()]
-                    yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def picked(pairs: DataFrame, kind: str, test) -> DataFrame:
+    """The pairs whose other columns pass the test."""
 
-        return run
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keep = [test(*row.values()) for row in part.select(part.schema.names[2:]).to_pylist()]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def flat_sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, band, bits): a row for each band of a set."""
+    return sets.select("id", "n", F.explode("sketches").alias("s")).select("id", "n", F.col("s.band").alias("band"), F.col("s.bits").alias("bits"))
+
+
+def close(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b, band) whose sketches allow a link."""
+
+    def near(a: int, bits_a: bytes, b: int, bits_b: bytes) -> bool:
+        if min(a, b) * join.den < max(a, b) * join.num:
+            return False
+        return int(np.bitwise_count(np.frombuffer(bits_a, np.uint16) ^ np.frombuffer(bits_b, np.uint16)).sum()) <= join.difference(a, b)
+
+    full = both_ends(pairs, flat_sketches(sets), ["band"]).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return picked(full, dict(pairs.dtypes)["a"], near).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
 
     def exact(a: bytes, b: bytes) -> bool:
         x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -277,9 +286,8 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         joined.sort()
         return join.linked(len(x), len(y), int((joined[1:] == joined[:-1]).sum()))
 
-    schema = f"a {kind}, b {kind}"
-    close = both(pairs, light).select("a", "b", "sketches_a", "sketches_b", "n_a", "n_b").mapInArrow(pick(lambda sa, sb, a, b: near(sa, sb, a, b, join)), schema)
-    return both(close, sets.select("id", "grams")).select("a", "b", "grams_a", "grams_b").mapInArrow(pick(exact), schema)
+    full = both_ends(pairs, sets.select("id", "grams"), []).select("a", "b", "grams_a", "grams_b")
+    return picked(full, dict(pairs.dtypes)["a"], exact)
 
 
 def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -312,38 +320,28 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -
         a, b = ids[i], ids[j]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def plain(group: pa.Table):
-        ids, c, center = (group.column(x).to_numpy() for x in ("id", "c", "center"))
-        i, j = np.triu_indices(len(ids), 1)
-        use = (c[i] != c[j]) & (ids[i] != center[i]) & (ids[j] != center[j])
-        yield from out(ids, i[use], j[use])
-
     def sketched(group: pa.Table):
-        ids, c, n, part = (group.column(x).to_numpy() for x in ("id", "c", "n", "part"))
-        by: dict[int, list[int]] = {}
-        sketches = group.column("sketches").to_pylist()
-        for at, s in enumerate(sketches):
-            for x in s:
-                by.setdefault(x["band"], []).append(at)
-        alone = int(group.column("pa")[0].as_py()) == int(group.column("pb")[0].as_py())
-        for band, rows in by.items():
-            rows = np.array(rows)
-            bits = np.stack([np.frombuffer(next(x["bits"] for x in sketches[r] if x["band"] == band), np.uint16) for r in rows])
-            step = max(1, (1 << 22) // max(1, bits.size))
-            for at in range(0, len(rows), step):
-                far = np.bitwise_count(bits[at : at + step, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero(far <= join.difference(n[rows[at : at + step], None], n[rows][None, :]))
-                i, j = rows[i + at], rows[j]
-                use = (ids[i] < ids[j]) & (c[i] != c[j]) & ((part[i] != part[j]) | alone)
-                yield from out(ids, i[use], j[use])
-
-    pairs = rows.where(F.col("m") <= SMALL).select("key", "id", "c", "center").repartition("key").sortWithinPartitions("key", "id").mapInArrow(stream(["key"], plain), f"a {kind}, b {kind}")
+        ids, c, n, part, center = (group.column(x).to_numpy() for x in ("id", "c", "n", "part", "center"))
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint16).reshape(len(ids), -1)
+        alone = group.column("pa")[0].as_py() == group.column("pb")[0].as_py()
+        step = max(1, (1 << 22) // max(1, bits.size))
+        for at in range(0, len(ids), step):
+            far = np.bitwise_count(bits[at : at + step, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero(far <= join.difference(n[at : at + step, None], n[None, :]))
+            i = i + at
+            use = (ids[i] < ids[j]) & (c[i] != c[j]) & ((part[i] != part[j]) | alone) & (ids[i] != center[i])
+            yield from out(ids, i[use], j[use])
+
     parts = F.ceil(F.col("m") / PART)
-    large = rows.where(F.col("m") > SMALL).withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.select("key", "id", "c", "part", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"))
-    light = sets.select(F.col("id").alias("of"), "n", "sketches")
-    large = large.join(light, F.col("id") == F.col("of")).drop("of").repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb", "id")
-    return pairs.unionByName(large.mapInArrow(stream(["key", "pa", "pb"], sketched), f"a {kind}, b {kind}")).distinct()
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", "id", "center", "c", "part", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"))
+    light = flat_sketches(sets).select(F.col("id").alias("of"), "n", "band", "bits")
+    rows = rows.join(light, (F.col("id") == F.col("of")) & (band_of(F.col("key")) == F.col("band"))).select("key", "pa", "pb", "id", "center", "c", "part", "n", "bits")
+    return rows.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb", "id").mapInArrow(stream(["key", "pa", "pb"], sketched), f"a {kind}, b {kind}").distinct()
+
+
+def band_of(key):
+    return key.bitwiseAND(F.lit(255)).cast("int")
 
 
 def components(spark: SparkSession, docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,8 +357,8 @@ def components(spark: SparkSession, docs: DataFrame, join: Join = Join(), id_col
     ids = members.select("id").distinct().withColumnRenamed("id", "of")
     sets = save(spark, full_sets(narrow.join(ids, F.col("id") == F.col("of"), "left_semi"), join), "ngram-candidates")
     reclaim(spark)
-    stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = save(spark, verified(stars, sets, join), "ngram-links")
+    stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"), band_of(F.col("key")).alias("band")).distinct()
+    links = save(spark, verified(close(stars, sets, join), sets, join), "ngram-links")
     reclaim(spark)
     same = rows.where("n > 0 and id is not null")
     first = same.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "a")

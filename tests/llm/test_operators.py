@@ -139,7 +139,7 @@ def test_ngram_join(spark, words, num, den):
 
 
 def test_ngram_join_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "PART", 3)
     test_ngram_join(spark, 5, 4, 5)
 
 
