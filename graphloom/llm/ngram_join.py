@@ -21,7 +21,7 @@ verified on the full sets. Then only buckets that still hold more than one compo
 looked at again: their pairs across components are compared by sketch within the bucket, and those
 that pass leave the task and are verified, so no link between components is lost.
 
-Full sets are made again, from the text, for documents that have a candidate. Defined
+Full sets are made again, from the text, for documents that a sketch leaves a candidate. Defined
 cases: a document with fewer words than n is its whole sequence as one n-gram; without
 words or text, its set is empty and links with nothing; a null id is in no component
 (null); rows that share an id are one node; ties and repeated rows need no care.
@@ -204,36 +204,35 @@ def runs(batches, most: int = 4 << 20):
 
 
 def scan(docs: DataFrame, join: Join) -> DataFrame:
-    """(id, n, digest, keys): of rows in a slice with equal sets, the first alone has keys."""
+    """(id, n, digest, keys, sketches): of rows in a slice with equal sets, the first alone has keys and sketches."""
 
     def run(batches):
         for part in runs(batches):
-            ns, digests, keys, seen = [], [], [], set()
+            ns, digests, keys, sketches, seen = [], [], [], [], set()
             for grams in sets_of(part.column(1).to_pylist(), join):
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
-                keys.append(sent(grams, join) if digest and digest not in seen else np.zeros(0, np.int64))
+                new = digest is not None and digest not in seen
+                keys.append(sent(grams, join) if new else np.zeros(0, np.int64))
+                sketches.append([{"band": k, "bits": sketch(grams, size).tobytes()} for k, size in join.of(len(grams))] if new else [])
                 seen.add(digest)
                 ns.append(len(grams))
                 digests.append(digest)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))], ["id", "n", "digest", "keys", "sketches"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, digest binary, keys array<long>, sketches array<struct<band:int,bits:binary>>")
 
 
-def full_sets(docs: DataFrame, join: Join) -> DataFrame:
-    """(id, n, sketches of its bands, grams)."""
+def full_sets(docs: DataFrame, join: Join, pairs: DataFrame) -> DataFrame:
+    """(id, grams) of the documents in pairs(a, b)."""
+    ids = pairs.select(F.col("a").alias("of")).unionByName(pairs.select(F.col("b").alias("of"))).distinct()
 
     def run(batches):
         for part in runs(batches):
-            sets = sets_of(part.column(1).to_pylist(), join)
-            sketches = [[{"band": k, "bits": sketch(g, size).tobytes()} for k, size in join.of(len(g))] for g in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))), pa.array([g.tobytes() for g in sets], pa.binary())], ["id", "n", "sketches", "grams"]
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in sets_of(part.column(1).to_pylist(), join)], pa.binary())], ["id", "grams"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, sketches array<struct<band:int,bits:binary>>, grams binary")
+    return docs.join(ids, F.col("id") == F.col("of"), "left_semi").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, grams binary")
 
 
 def both_ends(pairs: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
@@ -277,7 +276,7 @@ def close(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return picked(full, dict(pairs.dtypes)["a"], near).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
 
     def exact(a: bytes, b: bytes) -> bool:
@@ -286,7 +285,8 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         joined.sort()
         return join.linked(len(x), len(y), int((joined[1:] == joined[:-1]).sum()))
 
-    full = both_ends(pairs, sets.select("id", "grams"), []).select("a", "b", "grams_a", "grams_b")
+    pairs = save(spark, pairs, "ngram-pairs")
+    full = both_ends(pairs, save(spark, full_sets(docs, join, pairs), "ngram-full"), []).select("a", "b", "grams_a", "grams_b")
     return picked(full, dict(pairs.dtypes)["a"], exact)
 
 
@@ -348,23 +348,20 @@ def components(spark: SparkSession, docs: DataFrame, join: Join = Join(), id_col
     """(id, n, component) of every row of docs."""
     narrow = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
     scanned = save(spark, scan(narrow, join), "ngram-keys")
-    rows = save(spark, scanned.select("id", "n", "digest"), "ngram-sets")
+    rows = save(spark, scanned.select("id", "n", "digest", "sketches"), "ngram-sketches")
     bucket = Window.partitionBy("key")
     members = scanned.where("id is not null").select("id", F.explode("keys").alias("key"))
     members = members.withColumn("center", F.min("id").over(bucket)).withColumn("m", F.count("*").over(bucket)).where("m > 1")
     members = save(spark, members.select("key", "id", "center", "m"), "ngram-buckets")
     reclaim(spark, scanned)
-    ids = members.select("id").distinct().withColumnRenamed("id", "of")
-    sets = save(spark, full_sets(narrow.join(ids, F.col("id") == F.col("of"), "left_semi"), join), "ngram-candidates")
-    reclaim(spark)
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"), band_of(F.col("key")).alias("band")).distinct()
-    links = save(spark, verified(close(stars, sets, join), sets, join), "ngram-links")
+    links = save(spark, verified(spark, close(stars, rows, join), narrow, join), "ngram-links")
     reclaim(spark)
     same = rows.where("n > 0 and id is not null")
     first = same.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "a")
     equal = save(spark, same.join(first, F.col("digest") == F.col("of")).where("id <> a").select("a", F.col("id").alias("b")), "ngram-equal")
     labels = connected_components(spark, links.unionByName(equal))
-    more = save(spark, verified(across(members, labels, sets, join), sets, join), "ngram-links")
+    more = save(spark, verified(spark, across(members, labels, rows, join), narrow, join), "ngram-links")
     if more.limit(1).count():
         labels = connected_components(spark, links.unionByName(equal).unionByName(more))
     found = labels.select(F.col("node"), F.col("component"))
