@@ -18,8 +18,11 @@ link with anything but an equal set send none. Equal sets meet by a digest.
 Pairs. In a bucket of equal words all members are paired with the smallest only, which
 keeps a large group linear. Pairs whose sketches are too far apart go; the others are
 verified on the full sets. Then only buckets that still hold more than one component are
-looked at again: their pairs across components are compared by sketch within the bucket, and those
-that pass leave the task and are verified, so no link between components is lost.
+looked at again, in rounds: their pairs across components are compared by sketch within the
+bucket, and of those that pass, each component sends its few nearest to be verified. What
+links merges components, so that most other pairs need no look; while any pair was held
+back, the next round sends more for each component. The last round holds none back, so no
+link between components is lost.
 
 Full sets are made again, from the text, for documents that a sketch leaves a candidate. Defined
 cases: a document with fewer words than n is its whole sequence as one n-gram; without
@@ -47,6 +50,10 @@ from graphloom.sources.storage import reclaim, save
 PIECE = 1 << 20
 #: Buckets larger than this are compared in parts.
 PART = 4096
+#: Pairs that a component sends from a bucket in the first round, and how many times as many in each next one.
+REACH, FURTHER = 4, 256
+#: Pairs that a bucket's task holds before it sorts out the nearest.
+HELD = 1 << 20
 #: Bits of a parity word.
 BITS = 16
 P = 0x9E3779B97F4A7C15
@@ -290,8 +297,22 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, join: Join)
     return picked(full, dict(pairs.dtypes)["a"], exact)
 
 
-def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Pairs of different components in the buckets that hold several; members(key, id, center, m)."""
+def nearest(found: np.ndarray, reach: int) -> np.ndarray:
+    """Of the columns of found (distance, a, b, component of a, of b; each pair once) those among the nearest `reach` of either component."""
+    use = np.zeros(found.shape[1], dtype=bool)
+    both = np.concatenate((found[3], found[4]))
+    order = np.lexsort((np.tile(found[2], 2), np.tile(found[1], 2), np.tile(found[0], 2), both))
+    first = np.flatnonzero(np.diff(both[order], prepend=both[order[:1]] - 1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    use[order[rank < reach] % len(use)] = True
+    return found[:, use]
+
+
+def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join, reach: int) -> DataFrame:
+    """(a, b, more): near pairs of different components in the buckets that hold several; members(key, id, center, m).
+
+    From each bucket come the nearest `reach` of each component, ties to smaller ids; more says that others were held back.
+    """
     kind = dict(members.dtypes)["id"]
     of = labels.select(F.col("node"), F.col("component"))
     rows = members.where("m > 2").join(of, F.col("id") == F.col("node"), "left").select("key", "id", "center", "m", F.coalesce("component", "id").alias("c"))
@@ -316,28 +337,34 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -
 
         return run
 
-    def out(ids, i, j):
-        a, b = ids[i], ids[j]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
     def sketched(group: pa.Table):
         ids, c, n, part, center = (group.column(x).to_numpy() for x in ("id", "c", "n", "part", "center"))
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint16).reshape(len(ids), -1)
         alone = group.column("pa")[0].as_py() == group.column("pb")[0].as_py()
         step = max(1, (1 << 22) // max(1, bits.size))
+        held, size, more = [], 0, False
         for at in range(0, len(ids), step):
             far = np.bitwise_count(bits[at : at + step, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
             i, j = np.nonzero(far <= join.difference(n[at : at + step, None], n[None, :]))
-            i = i + at
+            far, i = far[i, j], i + at
             use = (ids[i] < ids[j]) & (c[i] != c[j]) & ((part[i] != part[j]) | alone) & (ids[i] != center[i])
-            yield from out(ids, i[use], j[use])
+            far, i, j = far[use], i[use], j[use]
+            held.append(np.stack((far, ids[i], ids[j], c[i], c[j])))
+            size += len(i)
+            if size > HELD:
+                held = [nearest(np.concatenate(held, axis=1), reach)]
+                more, size = more or held[0].shape[1] < size, held[0].shape[1]
+        if size:
+            found = nearest(np.concatenate(held, axis=1), reach)
+            more = more or found.shape[1] < size
+            yield pa.RecordBatch.from_arrays([pa.array(found[1]), pa.array(found[2]), pa.array(np.full(found.shape[1], more))], ["a", "b", "more"])
 
     parts = F.ceil(F.col("m") / PART)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", "id", "center", "c", "part", F.least("part", "other").alias("pa"), F.greatest("part", "other").alias("pb"))
     light = flat_sketches(sets).select(F.col("id").alias("of"), "n", "band", "bits")
     rows = rows.join(light, (F.col("id") == F.col("of")) & (band_of(F.col("key")) == F.col("band"))).select("key", "pa", "pb", "id", "center", "c", "part", "n", "bits")
-    return rows.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb", "id").mapInArrow(stream(["key", "pa", "pb"], sketched), f"a {kind}, b {kind}").distinct()
+    return rows.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb", "id").mapInArrow(stream(["key", "pa", "pb"], sketched), f"a {kind}, b {kind}, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def band_of(key):
@@ -360,10 +387,15 @@ def components(spark: SparkSession, docs: DataFrame, join: Join = Join(), id_col
     same = rows.where("n > 0 and id is not null")
     first = same.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "a")
     equal = save(spark, same.join(first, F.col("digest") == F.col("of")).where("id <> a").select("a", F.col("id").alias("b")), "ngram-equal")
-    labels = connected_components(spark, links.unionByName(equal))
-    more = save(spark, verified(spark, across(members, labels, rows, join), narrow, join), "ngram-links")
-    if more.limit(1).count():
-        labels = connected_components(spark, links.unionByName(equal).unionByName(more))
+    links, reach, left = links.unionByName(equal), REACH, True
+    labels = connected_components(spark, links)
+    while left:
+        near = save(spark, across(members, labels, rows, join, reach), "ngram-near")
+        more = save(spark, verified(spark, near.select("a", "b"), narrow, join), "ngram-links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = connected_components(spark, links)
+        left, reach = near.where("more").limit(1).count() > 0, reach * FURTHER
     found = labels.select(F.col("node"), F.col("component"))
     return rows.join(found, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 

@@ -143,6 +143,25 @@ def test_ngram_join_large_buckets(spark, monkeypatch):
     test_ngram_join(spark, 5, 4, 5)
 
 
+def test_ngram_join_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "REACH", 1)
+    monkeypatch.setattr(ngram_join, "FURTHER", 2)
+    test_ngram_join(spark, 5, 4, 5)
+
+
+def test_ngram_nearest():
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), a, b, a % 7, 7 + b % 5) for a in range(20) for b in range(100, 115) if rng.random() < 0.5)
+    for reach in (1, 3, 10, 1000):
+        want = set()
+        for side in (3, 4):
+            for c in {r[side] for r in rows}:
+                want |= set([r for r in rows if r[side] == c][:reach])
+        shuffled = rng.sample(rows, len(rows))
+        got = ngram_join.nearest(np.array(shuffled).T, reach)
+        assert set(map(tuple, got.T.tolist())) == want and got.shape[1] == len(want)
+
+
 def test_ngram_edges(spark, edge, empty):
     got = {(r["id"], r["n"], r["component"]) for r in ngram_join.components(spark, edge).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 1, 3), (None, 1, None), (5, 6, 5), (6, 6, 5)} <= got
