@@ -9,9 +9,14 @@ to keeping, then merging, then relabelling, then inserting.
 
 A stretch of turns is summed up by its cheapest cost from each state to each state, a
 4 x 4 matrix, and stretches combine by (min, +) products. So a conversation of any
-length is solved in blocks of BLOCK turns: blocks give matrices, a conversation's
-matrices are chained, and each block then retraces its own path. No task holds more
-than a block's texts.
+length is solved in blocks of BLOCK turn numbers: blocks give matrices, a conversation's
+matrices are chained, and each block then retraces its own path. Matrices are made from
+roles alone; the texts are shuffled once, each block's way sorted in ahead of its turns.
+A task holds a batch of rows and the block that the batch cuts. A block is bounded as
+far as turn numbers differ: turns of one number, or without one, share a block.
+
+Less their minimum, the costs of the four states take few values, so a turn is one
+look-up in a table of steps.
 
 The result has a row for each given turn and each inserted one; the rendered
 conversation is the concatenation of `rendered` in the order of (out_turn, part).
@@ -23,14 +28,19 @@ conversation; a repeated row is a turn of its own.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import cache
+from itertools import accumulate
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
 BLOCK = 2048
+#: Bytes of text in an output batch.
+BATCH = 32 << 20
 MERGE, RELABEL, INSERT = 2, 3, 4
 ROLES = ("system", "user", "assistant")
 #: States: 0 nothing yet, then the role of the last turn.
@@ -65,6 +75,8 @@ def moves() -> list[tuple[int, int, str, tuple[int, ...], int]]:
 
 
 MOVES = moves()
+#: Turns that each move opens.
+OPENS = [(action != "merge") + len(inserted) for _, _, action, inserted, _ in MOVES]
 #: Empty turns that end a conversation legally.
 CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 
@@ -74,26 +86,41 @@ def role_number(role) -> int:
     return ROLES.index(name) + 1 if name in ROLES else 0
 
 
-def forward(roles: list[int], start: int) -> tuple[list[int], list[list[int]]]:
+@cache
+def step(cost: tuple[int, ...], role: int) -> tuple[tuple[int, ...], int, tuple[int, ...]]:
+    """(new costs less their minimum, that minimum, for each state the move that led there or -1)."""
+    new, by = [FAR] * 4, [-1] * 4
+    for m, (a, b, _, _, price) in enumerate(MOVES):
+        total = cost[a] + price + (RELABEL if b != role else 0)
+        if total < new[b]:
+            new[b], by[b] = total, m
+    least = min(new)
+    return tuple(c - least if c < FAR else FAR for c in new), least, tuple(by)
+
+
+def forward(roles: list[int], start: int) -> tuple[list[int], list[tuple[int, ...]]]:
     """Cheapest cost of each state after the turns, and for each turn and state the move that led there."""
-    cost = [FAR] * 4
-    cost[start] = 0
-    back = []
+    cost = tuple(0 if s == start else FAR for s in range(4))
+    base, back = 0, []
     for role in roles:
-        new, by = [FAR] * 4, [-1] * 4
-        for m, (a, b, _, _, price) in enumerate(MOVES):
-            total = cost[a] + price + (RELABEL if b != role else 0)
-            if total < new[b]:
-                new[b], by[b] = total, m
-        cost = new
+        cost, least, by = step(cost, role)
+        base += least
         back.append(by)
-    return cost, back
+    return [c + base if c < FAR else FAR for c in cost], back
 
 
 def matrix(roles: list[int]) -> list[list[int]]:
     return [forward(roles, s)[0] for s in range(4)]
 
 
+def openings(back: list[tuple[int, ...]]) -> list[int]:
+    """How many turns the cheapest way to each state opens."""
+    opened = [0] * 4
+    for by in back:
+        opened = [opened[MOVES[m][0]] + OPENS[m] if m >= 0 else 0 for m in by]
+    return opened
+
+
 def chain_blocks(matrices: list[list[list[int]]]) -> list[tuple[int, int]]:
     """The states in which each block starts and ends on the cheapest way through all."""
     cost, back = [0, FAR, FAR, FAR], []
@@ -124,49 +151,95 @@ def trace(roles: list[int], start: int, end: int, last: bool) -> list[tuple[int,
     return out + [(-1, "insert", r) for r in CLOSING[end]] * last
 
 
+def whole_groups(batches, keys: int):
+    """Tables of whole groups from batches sorted by their first columns, however batches cut them."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
+        before = [last if held else key[0], *key[:-1]]
+        cut = next((i for i in range(len(key) - 1, -1, -1) if key[i] != before[i]), None)
+        if cut is None:
+            held.append(batch)
+        else:
+            done = [*held, batch.slice(0, cut)]
+            yield pa.Table.from_batches(done).combine_chunks()
+            held = [batch.slice(cut)]
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def bounds(*columns: list) -> list[tuple[int, int]]:
+    """(first, past the last) place of each run of equal keys."""
+    key = list(zip(*columns))
+    cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
+    return list(zip([0, *cuts], [*cuts, len(key)]))
+
+
 def repair(spark: SparkSession, turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(conv_id, out_turn, part, turn, action, role, text, rendered)."""
     rows = turns.select(turns[f"`{conv}`"].alias("conv_id"), turns[f"`{turn}`"].cast("long").alias("turn"), turns[f"`{role}`"].cast("string").alias("role"), turns[f"`{text}`"].cast("string").alias("text"))
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
-    order = ["turn", "role", "text"]
     kind = dict(rows.dtypes)["conv_id"]
 
-    def roles_of(pdf: pd.DataFrame) -> list[int]:
-        return [role_number(r) for r in pdf["role"]]
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, na_position="first", kind="stable")
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "block": pdf["block"].iloc[:1], "m": [sum(matrix(roles_of(pdf)), [])]})
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        ways = chain_blocks([np.reshape(m, (4, 4)).tolist() for m in pdf["m"]])
-        out = pdf[["conv_id", "block"]].copy()
-        out["enter"], out["leave"] = [a for a, _ in ways], [b for _, b in ways]
-        out["last"] = [False] * (len(pdf) - 1) + [True]
-        return out
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, na_position="first", kind="stable").reset_index(drop=True)
-        steps = trace(roles_of(pdf), int(pdf["enter"][0]), int(pdf["leave"][0]), bool(pdf["last"][0]))
-        at = [i for i, _, _ in steps]
-        pick = lambda c: [None if i < 0 or pd.isna(pdf[c][i]) else pdf[c][i] for i in at]
-        opens = [a != "merge" for _, a, _ in steps]
-        out = pd.DataFrame({"conv_id": [pdf["conv_id"][0]] * len(steps), "block": pdf["block"][0], "nth": range(len(steps)), "opened": np.cumsum(opens), "turn": pd.array(pick("turn"), dtype="Int64"), "action": [a for _, a, _ in steps], "role": [ROLES[r - 1] for _, _, r in steps], "text": pick("text")})
-        return out
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        pdf["before"] = pdf["opened"].cumsum() - pdf["opened"]
-        return pdf[["conv_id", "block", "before"]]
-
-    matrices = rows.groupBy("conv_id", "block").applyInPandas(measure, f"conv_id {kind}, block long, m array<long>")
-    ways = matrices.groupBy("conv_id").applyInPandas(link, f"conv_id {kind}, block long, enter int, leave int, last boolean")
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["block"] == b["block"])
-    ready = rows.join(ways, same(rows, ways)).select(*[rows[c] for c in rows.columns], "enter", "leave", "last")
-    steps = ready.groupBy("conv_id", "block").applyInPandas(apply, f"conv_id {kind}, block long, nth long, opened long, turn long, action string, role string, text string")
-    starts = steps.groupBy("conv_id", "block").agg(F.max("opened").alias("opened")).groupBy("conv_id").applyInPandas(number, f"conv_id {kind}, block long, before long")
-    out = steps.join(starts, same(steps, starts)).select(steps["conv_id"], (F.col("before") + F.col("opened") - 1).alias("out_turn"), F.struct(steps["block"], "nth").alias("part"), "turn", "action", "role", "text")
+    def measure(batches):
+        for held in whole_groups(batches, 2):
+            convs, blocks, roles = (held.column(c).to_pylist() for c in ("conv_id", "block", "role"))
+            runs = bounds(convs, blocks)
+            costs, opens = [], []
+            for a, b in runs:
+                ways = [forward([role_number(r) for r in roles[a:b]], s) for s in range(4)]
+                costs.append([c for cost, _ in ways for c in cost])
+                opens.append([n for _, back in ways for n in openings(back)])
+            at = pa.array([a for a, _ in runs])
+            yield from pa.table({"conv_id": held["conv_id"].take(at), "block": held["block"].take(at), "costs": pa.array(costs, pa.list_(pa.int64())), "opens": pa.array(opens, pa.list_(pa.int64()))}).to_batches()
+
+    def link(batches):
+        for held in whole_groups(batches, 1):
+            costs, opens = held["costs"].to_pylist(), held["opens"].to_pylist()
+            enter, leave, last, before = [], [], [], []
+            for a, b in bounds(held["conv_id"].to_pylist()):
+                ways = chain_blocks([[m[0:4], m[4:8], m[8:12], m[12:16]] for m in costs[a:b]])
+                enter += [x for x, _ in ways]
+                leave += [y for _, y in ways]
+                last += [False] * (len(ways) - 1) + [True]
+                before += list(accumulate((o[4 * x + y] for o, (x, y) in zip(opens[a:b], ways)), initial=0))[:-1]
+            yield from pa.table({"conv_id": held["conv_id"], "block": held["block"], "enter": pa.array(enter, pa.int32()), "leave": pa.array(leave, pa.int32()), "last": pa.array(last, pa.bool_()), "before": pa.array(before, pa.int64())}).to_batches()
+
+    def apply(batches):
+        for held in whole_groups(batches, 2):
+            convs, blocks, roles = (held.column(c).to_pylist() for c in ("conv_id", "block", "role"))
+            ways = [held.column(c).to_pylist() for c in ("enter", "leave", "last", "before")]
+            source, given, nth, out_turn, action, name = [], [], [], [], [], []
+            for a, b in bounds(convs, blocks):  # the way comes first, then the turns
+                enter, leave, last, opened = (w[a] for w in ways)
+                steps = trace([role_number(r) for r in roles[a + 1 : b]], enter, leave, last)
+                for i, did, r in steps:
+                    opened += did != "merge"
+                    given.append(a + 1 + i if i >= 0 else None)
+                    out_turn.append(opened - 1)
+                    action.append(did)
+                    name.append(ROLES[r - 1])
+                source += [a] * len(steps)
+                nth += range(len(steps))
+            source, given = pa.array(source, pa.int64()), pa.array(given, pa.int64())
+            text = held["text"].cast(pa.large_string()).take(given)
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
+            out = pa.table({"conv_id": held["conv_id"].take(source), "block": held["block"].take(source), "nth": pa.array(nth, pa.int64()), "out_turn": pa.array(out_turn, pa.int64()), "turn": held["turn"].take(given), "action": pa.array(action, pa.string()), "role": pa.array(name, pa.string()), "text": text})
+            full = [(total - 1) // BATCH if total else 0 for total in accumulate(sizes)]
+            for a, b in bounds(full) if full else []:
+                part = out.slice(a, b - a)
+                yield from part.set_column(7, "text", part["text"].cast(pa.string())).combine_chunks().to_batches()
+
+    of_block = ["conv_id", "block"]
+    narrow = rows.select(*of_block, "turn", "role").repartition(*of_block).sortWithinPartitions(*of_block, "turn", "role")
+    matrices = narrow.mapInArrow(measure, f"conv_id {kind}, block long, costs array<long>, opens array<long>")
+    ways = matrices.repartition("conv_id").sortWithinPartitions(*of_block).mapInArrow(link, f"conv_id {kind}, block long, enter int, leave int, last boolean, before long")
+    ready = ways.unionByName(rows, allowMissingColumns=True).repartition(*of_block).sortWithinPartitions(*of_block, F.col("enter").asc_nulls_last(), "turn", "role", "text")
+    steps = ready.mapInArrow(apply, f"conv_id {kind}, block long, nth long, out_turn long, turn long, action string, role string, text string")
+    out = steps.select("conv_id", "out_turn", F.struct("block", "nth").alias("part"), "turn", "action", "role", "text")
     head = F.when(F.col("action") == "merge", F.lit("\n\n")).otherwise(F.concat(F.lit("<|end|>\n<|"), F.col("role"), F.lit("|>\n")))
     head = F.when((F.col("out_turn") == 0) & (F.col("action") != "merge"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise(head)
     return out.withColumn("rendered", F.concat(head, F.coalesce("text", F.lit(""))))
