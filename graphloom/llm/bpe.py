@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import table
+from graphloom.llm.common import give_back, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker keeps before it starts afresh.
-KEPT = 500_000
+KEPT = 200_000
 HASH = np.int64(0x1E3779B97F4A7C15)
 #: For texts of these characters alone, the pattern can be spelt without Unicode classes.
 PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ž]")
@@ -286,7 +286,7 @@ def tokenizer(name: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN)
     return RankQueueBPE(ranks, pattern)
 
 
-def slices(batches, most: int = 24_000_000):
+def slices(batches, most: int = 6_000_000):
     """The batches' rows in runs of about `most` bytes of text (column 1): a longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
@@ -307,6 +307,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             numbered, ids = bpe.encode_all(part.column(1).to_pylist())
             rows = [list(chain.from_iterable(map(ids.__getitem__, x))) for x in numbered]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
+        give_back()
 
     return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, ids array<int>")
 
@@ -328,6 +329,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 of_ids.append(sha(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(sha(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import field, table, unpack, whole_row
+from graphloom.llm.common import field, give_back, table, unpack, whole_row
 
 PROFILE = 300
 #: Bound on the documents that a language is learnt from, met in expectation.
@@ -214,6 +214,7 @@ def predict(spark: SparkSession, docs: DataFrame, profiles: Profiles, id_col: st
                 part = batch.slice(at, 1000)
                 names, scores = profiles.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+        give_back()
 
     return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, lang_pred string, score double")
 
@@ -231,6 +232,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                 part = batch.slice(at, 1000)
                 names, _ = profiles.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0)], ["row"]).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+        give_back()
 
     return unpack(rows.mapInArrow(run, schema), columns)
 

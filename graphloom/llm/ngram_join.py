@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import give_back, table
 from graphloom.operators.components import connected_components
 from graphloom.sources.storage import reclaim, save
 
@@ -95,7 +95,7 @@ class Join:
         return _bands_of(self, size)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _bands_of(join: Join, size: int) -> list[tuple[int, int]]:
     bands = join.bands(size * join.den // join.num + 1)
     return [(k, int(join.difference(hi, hi)) + 2) for k, (lo, hi) in enumerate(bands) if hi >= size and lo * join.num <= size * join.den]
@@ -227,6 +227,7 @@ def scan(docs: DataFrame, join: Join) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))], ["id", "n", "digest", "keys", "sketches"])
+        give_back()
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, digest binary, keys array<long>, sketches array<struct<band:int,bits:binary>>")
 
@@ -238,6 +239,7 @@ def full_sets(docs: DataFrame, join: Join, pairs: DataFrame) -> DataFrame:
     def run(batches):
         for part in runs(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in sets_of(part.column(1).to_pylist(), join)], pa.binary())], ["id", "grams"])
+        give_back()
 
     return docs.join(ids, F.col("id") == F.col("of"), "left_semi").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, grams binary")
 
