@@ -116,7 +116,7 @@ def channel_ops(spark, sf):
 
 @query("""WITH a AS (SELECT event_type, count(DISTINCT user_id) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1) SELECT coalesce(a.event_type, b.event_type) AS path, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.event_type = b.event_type""")
 def merkle_diff(spark, sf):
-    """Two states of a tree by path and digest: added, removed, changed, same."""
+    """Two states of a tree by path and number of distinct users, as its SQL has it; merkle_content_diff compares contents."""
     e = read(spark, sf, "events")
     state = lambda df, c: df.groupBy(F.col("event_type").alias(f"path_{c}")).agg(F.count_distinct("user_id").alias(c))
     a, b = state(e.where("event_id % 2 = 0"), "a"), state(e, "b")
@@ -124,6 +124,26 @@ def merkle_diff(spark, sf):
     return j.select(F.coalesce("path_a", "path_b").alias("path"), F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("state"))
 
 
+def content_digest(df, path: str, name: str):
+    """(path_name, name): for each path the number of its rows and the order-free sum of their hashes over all columns; a null is told from a value."""
+    row = F.xxhash64(*[c for n in sorted(df.columns) for c in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())]).cast("decimal(38,0)")
+    return df.groupBy(F.col(path).alias(f"path_{name}")).agg(F.struct(F.count("*").alias("rows"), F.sum(row).alias("hashes")).alias(name))
+
+
+def tree_diff(a, b, path: str):
+    """(path, state): what state b has added, removed, changed or left the same since state a; the null path is one path."""
+    j = content_digest(a, path, "a").join(content_digest(b, path, "b"), F.col("path_a").eqNullSafe(F.col("path_b")), "full_outer")
+    return j.select(F.coalesce("path_a", "path_b").alias("path"), F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("state"))
+
+
+@query("""WITH a AS (SELECT event_type AS path, count(*) AS n, sum(hash(e)::HUGEINT) AS h FROM events e WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS path, count(*) AS n, sum(hash(e)::HUGEINT) AS h FROM events e GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n <> b.n OR a.h <> b.h THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.path IS NOT DISTINCT FROM b.path""")
+def merkle_content_diff(spark, sf):
+    """The two states of merkle_diff by path and content digest."""
+    e = read(spark, sf, "events")
+    return tree_diff(e.where("event_id % 2 = 0"), e, "event_type")
+
+
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def tumbling_windows(spark, sf):
     from graphloom.streaming.windows import tumbling

@@ -98,3 +98,22 @@ def test_maintain(spark):
     batch = spark.createDataFrame([("f2", 20)], "file_path string, v int")
     gone = spark.createDataFrame([("f3", 0)], "file_path string, v int")
     assert sorted(map(tuple, windows.maintain(base, batch, gone).collect())) == [("f1", 1), ("f2", 20)]
+
+
+def test_tree_diff_by_content(spark):
+    """Every change here leaves the number of distinct users of its path equal."""
+    from graphloom.plans import history
+
+    kind = "path string, user_id long, note string"
+    a = [("value", 1, "x"), ("value", 2, "y"), ("row", 1, "x"), ("swap", 1, "x"), ("swap", 2, "y"), ("null", 1, None), ("gone", 1, "x"), ("same", 1, "x"), ("same", 2, None), ("twice", 1, "x"), ("twice", 1, "x"), (None, 1, "x")]
+    b = [("value", 1, "x"), ("value", 2, "z"), ("row", 1, "x"), ("row", 1, "w"), ("swap", 1, "y"), ("swap", 2, "x"), ("null", 1, ""), ("new", 1, "x"), ("same", 2, None), ("same", 1, "x"), ("twice", 1, "x"), (None, 1, "x")]
+    got = {r["path"]: r["state"] for r in history.tree_diff(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind).repartition(3), "path").collect()}
+    assert got == {"value": "changed", "row": "changed", "swap": "changed", "null": "changed", "twice": "changed", "gone": "removed", "new": "added", "same": "same", None: "same"}
+
+
+def test_merkle_content_diff_sees_equal_user_counts(spark, sf):
+    """All five types have equal numbers of distinct users in both states here, and about half of the rows in the first."""
+    from graphloom.plans import catalog
+
+    assert {r["state"] for r in catalog.queries()["merkle_diff"](spark, sf).collect()} == {"same"}
+    assert [r["state"] for r in catalog.queries()["merkle_content_diff"](spark, sf).collect()] == ["changed"] * 5
