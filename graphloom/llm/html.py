@@ -7,9 +7,10 @@ adverts, forms, scripts, comments and the like) are left out. For each tag path
 length, punctuation and number of occurrences are summed; the ratios length/occurrence
 and 1 + punctuation/occurrence, less the share of linked text, are multiplied, laid out
 along the page and smoothed by a Gaussian window. Paths that reach THRESHOLD of the mean
-hold the content; the deepest element around COVER of their text is the article (an
-<article> or <main> element around them is taken as such). All that is left in it is the
-text: a block's white space is one space, blocks are joined in page order.
+hold the content; the deepest element around all of their text is the article (where
+<article> or <main> elements hold COVER of it, the one of them with most of it is taken
+as such). All that is left in it is the text: a block's white space is one space, blocks
+are joined in page order.
 
 Defined cases: null or empty html, or html without content, gives the empty text;
 unclosed elements end where html lets them end, or with the page; a page without any
@@ -174,9 +175,8 @@ def content(parts) -> Open | None:
                 weight[id(e)] += size
                 seen[id(e)] = e
                 e = e.up
-    around = [e for k, e in seen.items() if weight[k] >= COVER * total]
-    named = [e for e in around if e.name in ("article", "main")]
-    return max(named or around, key=lambda e: e.path.count("/"), default=None)
+    named = [e for k, e in seen.items() if e.name in ("article", "main") and weight[k] >= COVER * total]
+    return max(named or seen.values(), key=lambda e: (weight[id(e)], e.path.count("/")), default=None)
 
 
 def extract(page: str | None) -> str:

@@ -250,6 +250,20 @@ def test_html():
     assert html.extract("<p>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_what_stands_around_the_bulk():
+    bulk = "".join(f"<p>Long paragraph {i}, with words, marks, and more of them. It goes on, and on.</p>" for i in range(9))
+    text = " ".join(f"Long paragraph {i}, with words, marks, and more of them. It goes on, and on." for i in range(9))
+    whole = f"Title intro {text} closing"
+    for tag in ("div", "section"):
+        page = f"<div class=c><h1>Title</h1><p>intro</p><{tag}>{bulk}</{tag}><p>closing</p></div>"
+        assert html.extract(f"<body><nav>Menu</nav>{page}<footer>Legal</footer></body>") == html.extract(f"<body><main>{page}</main></body>") == whole
+    assert html.extract(f"<body><main><h1>Title</h1><p>intro</p><article>{bulk}</article><p>closing</p></main></body>") == whole
+    assert html.extract(f"<body><article><h1>Title</h1><p>intro</p><article>{bulk}</article><p>closing</p></article><p>outside</p></body>") == whole
+    items = "".join(f"<li>Entry {i}, of a long list, with words.</li>" for i in range(30))
+    entries = " ".join(f"Entry {i}, of a long list, with words." for i in range(30))
+    assert html.extract(f"<body><div><h1>Title</h1><p>What the list holds, in short.</p><ul>{items}</ul><p>closing</p></div></body>") == f"Title What the list holds, in short. {entries} closing"
+
+
 def test_line_dedup(spark, edge, empty):
     line = "a passage of seven words right here"
     df = spark.createDataFrame([(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nother"), (3, f"x\n{line}"), (4, None)], "doc_id long, text string")
