@@ -264,6 +264,16 @@ def test_html_keeps_what_stands_around_the_bulk():
     assert html.extract(f"<body><div><h1>Title</h1><p>What the list holds, in short.</p><ul>{items}</ul><p>closing</p></div></body>") == f"Title What the list holds, in short. {entries} closing"
 
 
+@pytest.mark.parametrize("attributes", ['href="/the-hidden-valley"', 'title="A hidden gem"', "title='class=ad'", "href=/x?id=related&hidden", 'data-hidden="false"', 'data-id="related"', 'x-class = "ad" data-role=menu', 'title="say id=comments" lang=en', "data-x=hidden", 'title="" hidden-at="5"'])
+def test_html_reads_no_attribute_inside_another(attributes):
+    assert html.extract(f"<body><div {attributes}><p>Some words, and <a {attributes}>linked ones</a>, go on.</p></div></body>") == "Some words, and linked ones, go on."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', 'title="x"hidden', "title=x hidden", 'data-id="a" id="related"', "class = 'ad'", "id=comments", 'aria-hidden="true"', "lang=en style='color:red; display : none'", 'role="navigation"', 'title="a > b" class="ad"'])
+def test_html_still_leaves_out_what_its_own_attributes_name(attributes):
+    assert html.extract(f"<body><p>Some words, and more, go on.</p><div {attributes}><p>Left out, as it says.</p></div><p>And an end.</p></body>") == "Some words, and more, go on. And an end."
+
+
 def test_line_dedup(spark, edge, empty):
     line = "a passage of seven words right here"
     df = spark.createDataFrame([(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nother"), (3, f"x\n{line}"), (4, None)], "doc_id long, text string")
