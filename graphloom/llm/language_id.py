@@ -109,7 +109,9 @@ def counted(texts: list[str | None]):
     parts = []
     for held in chunks(texts):
         got = count(held)
-        if parts and len(got[0]) and len(parts[-1][0]) and parts[-1][0][-1] == got[0][0]:
+        if not len(got[0]):
+            continue  # a document's earlier part waits for what comes after a stretch without letters
+        if parts and parts[-1][0][-1] == got[0][0]:
             parts[-1] = tuple(map(np.concatenate, zip(parts[-1], got)))
             d, g, n = parts[-1]
             order = np.lexsort((g, d))

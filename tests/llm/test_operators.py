@@ -241,6 +241,16 @@ def test_language_counts_brute_force(monkeypatch):
             assert mine == dict(want)
 
 
+def test_language_counts_across_chunks_without_letters(monkeypatch):
+    monkeypatch.setattr(language_id, "CHUNK", 40)
+    texts = ["the cat and the dog " * 9 + "12 34 " * 40 + "un chien", "7 " * 90, "12 " * 50 + "one end", None, "b c " * 30 + "0 " * 200 + "b c " * 3 + "0 " * 200 + "d"]
+    parts = [(set(d.tolist()), d, g, n) for d, g, n in language_id.counted(texts)]
+    assert sorted(x for docs, *_ in parts for x in docs) == [0, 2, 4]
+    monkeypatch.setattr(language_id, "CHUNK", 1 << 20)
+    whole = {(x, y): z for d, g, n in language_id.counted(texts) for x, y, z in zip(d.tolist(), g.tolist(), n.tolist())}
+    assert {(x, y): z for _, d, g, n in parts for x, y, z in zip(d.tolist(), g.tolist(), n.tolist())} == whole
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
     <div class="cookie-notice">We use cookies, really, a lot of them.</div><div id=content><h1>Big &amp; small</h1><p>First  para, with <b>bo</b>ld.<p>Second&nbsp;one.<br>More, text. And more, of it.
