@@ -211,17 +211,18 @@ def runs(batches, most: int = 4 << 20):
 
 
 def scan(docs: DataFrame, join: Join) -> DataFrame:
-    """(id, n, digest, keys, sketches): of rows in a slice with equal sets, the first alone has keys and sketches."""
+    """(id, n, digest, keys, sketches): of rows in a slice with equal sets, the first with an id alone has keys and sketches."""
 
     def run(batches):
         for part in runs(batches):
             ns, digests, keys, sketches, seen = [], [], [], [], set()
-            for grams in sets_of(part.column(1).to_pylist(), join):
+            for known, grams in zip(part.column(0).is_valid().to_pylist(), sets_of(part.column(1).to_pylist(), join)):
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
-                new = digest is not None and digest not in seen
+                new = known and digest is not None and digest not in seen
                 keys.append(sent(grams, join) if new else np.zeros(0, np.int64))
                 sketches.append([{"band": k, "bits": sketch(grams, size).tobytes()} for k, size in join.of(len(grams))] if new else [])
-                seen.add(digest)
+                if new:
+                    seen.add(digest)
                 ns.append(len(grams))
                 digests.append(digest)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)

@@ -169,6 +169,13 @@ def test_ngram_edges(spark, edge, empty):
     assert ngram_join.keep_one(spark, edge, ngram_join.Join(5, 4, 5)).columns == edge.columns
 
 
+def test_ngram_null_id_before_equal_sets(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(None, " ".join(words)), (3, " ".join(words)), (4, " ".join(words)), (1, " ".join([*words[:-1], "other"])), (None, " ".join(words)), (9, "far from all of these")]
+    got = {(r["id"], r["component"]) for r in ngram_join.components(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {(None, None), (1, 1), (3, 1), (4, 1), (9, 9)}
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.VOCABULARY), "rb"))}
