@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import identifiers as ids
 from graphloom.operators import centrality, traverse
 from graphloom.operators.components import connected_components
 from graphloom.plans.query import query
@@ -57,6 +58,33 @@ def scc(spark, sf):
     return centrality.scc(spark, clicks(spark, sf))
 
 
+def calls(spark, sf):
+    """(src, dst, weight): calls and references of the commerce graph, weighted by where they are known from."""
+    e = edges(spark, sf).where(F.col("kind").isin("calls", "references"))
+    return e.select("src", "dst", ids.provenance_weight(F.col("origin")).alias("weight"))
+
+
+@query()
+def commerce_pagerank(spark, sf, iterations=40):
+    return centrality.pagerank(spark, nodes(spark, sf).select("id"), calls(spark, sf), iterations)
+
+
+@query()
+def commerce_personalized_pagerank(spark, sf, iterations=40):
+    n = nodes(spark, sf).select("id")
+    return centrality.pagerank(spark, n, calls(spark, sf), iterations, seeds=n.where("id like 'customer/1_'"))
+
+
+@query()
+def commerce_hits(spark, sf, iterations=40):
+    return centrality.hits(spark, calls(spark, sf), iterations)
+
+
+@query()
+def commerce_scc(spark, sf):
+    return centrality.scc(spark, calls(spark, sf))
+
+
 BFS_SQL = """s AS (SELECT DISTINCT {a} AS a, {b} AS b, kind FROM edges {where}), w AS (SELECT id, 0 AS depth FROM nodes WHERE {seed} UNION SELECT s.b, w.depth + 1 FROM w JOIN s ON s.a = w.id WHERE w.depth < {depth}), m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)"""
 
 
