@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +26,38 @@ def bm25(index: DataFrame, docs: int, mean: float, terms: list[str], limit: int)
     return scored.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
-def grams(text):
+def grams(text: str | None) -> set[str]:
     """Distinct three-letter pieces of a text."""
-    return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: text.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    return set(map("".join, zip(text, text[1:], text[2:]))) if text else set()
+
+
+def trigram_postings(docs: DataFrame, id_col: str, text: str, only: set[str] | None = None) -> DataFrame:
+    """(id, gram) for each distinct gram of each document, or for those in `only`."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = [sorted(grams(t) if only is None else grams(t) & only) for t in part.column(1).to_pylist()]
+                row = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array([g for x in found for g in x], pa.string())], ["id", "gram"])
+
+    return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, gram string")
+
+
+def trigram_candidates(docs: DataFrame, id_col: str, text: str, literal: str) -> DataFrame:
+    """docs whose id has all of the literal's grams in the postings; all docs if the literal is too short for a gram."""
+    wanted = grams(literal)
+    if not wanted:
+        return docs
+    full = trigram_postings(docs, id_col, text, wanted).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted))
+    return docs.join(full.select(F.col("id").alias("with_all")), F.col(id_col).eqNullSafe(F.col("with_all")), "left_semi")
 
 
 def trigram_search(docs: DataFrame, id_col: str, text: str, literal: str) -> DataFrame:
     """(id): documents that hold all of the literal's pieces, verified; a short literal looks at all."""
-    found = docs.where(F.col(text).contains(literal))
+    found = trigram_candidates(docs.select(id_col, text), id_col, text, literal).where(F.col(text).contains(literal))
     return found.select(F.col(id_col).alias("id"))
 
 

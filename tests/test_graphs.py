@@ -164,3 +164,16 @@ def test_commerce_centrality_against_plain_loops(spark, sf):
 
     got = {r["id"]: r["component"] for r in found["commerce_scc"](spark, sf).collect()}
     assert got == {i: i for a, b, _ in links for i in (a, b)}  # customers, orders, parts, suppliers: no way back
+
+
+def test_trigram_postings_then_verified(spark):
+    from graphloom.operators import search
+
+    rows = [(1, "the abcde fits"), (2, "bcde abcd"), (3, "abc cde"), (4, None), (5, ""), (None, "xabcdex"), (7, "abcd"), (7, "bcde"), (8, "ABCDE"), (9, "é漢😀é漢😀")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = lambda f, literal: sorted((r["id"] for r in f(df, "id", "t", literal).collect()), key=str)
+    assert got(search.trigram_candidates, "abcde") == [1, 2, 7, 7, None]
+    assert got(search.trigram_search, "abcde") == [1, None]
+    assert got(search.trigram_search, "漢😀é") == [9] and got(search.trigram_search, "de") == [1, 2, 3, 7, None] and got(search.trigram_search, "nowhere") == []
+    post = {tuple(r) for r in search.trigram_postings(df.where("id < 4"), "id", "t").collect()}
+    assert post == {(i, t[k : k + 3]) for i, t in rows[:3] for k in range(len(t) - 2)}
