@@ -47,7 +47,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def reclaim(spark: SparkSession, *done: DataFrame) -> None:
     """Delete saved tables that nothing reads any more, and let the driver's collector find shuffle files of finished jobs."""
     for df in done:
-        _SAVED.get(spark.sparkContext.applicationId, []).remove(df.saved_at)
+        mine = _SAVED.get(spark.sparkContext.applicationId, [])
+        if df.saved_at in mine:
+            mine.remove(df.saved_at)
         _delete(spark, df.saved_at)
     gc.collect()
     spark._jvm.System.gc()
