@@ -9,7 +9,7 @@ row a source, so nothing depends on how many sources there are. Newton steps tha
 the bracket of the root are halved back into it. Sums are of integers, so reruns agree.
 
 Rates are then rounded into copies: documents are dealt by hash to blocks of about
-BLOCK within their source, and in each block, largest first, every document takes the
+BLOCK within their source (equal rows to different ones), and in each block, largest first, every document takes the
 number of copies nearest to its rate plus the tokens still owed by the larger ones.
 What a block misses in the end is of the order of its smallest document.
 
@@ -78,7 +78,7 @@ def balance(spark: SparkSession, sizes: DataFrame, sources: DataFrame, cap: floa
     start = start.withColumn("fixed", (F.col("target") >= F.col("source_size") * float(cap)) | (F.col("source_size") == 0))
     state = save(spark, start.select("*", F.lit(0.0).alias("lam"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")), "dual")
     names = state.columns
-    for _ in range(60):  # the bracket at least halves, so this ends long before
+    for _ in range(100):  # the bracket at least halves, so this ends long before
         sums = hist.join(state.where("not fixed").select(F.col("skey").alias("k"), "mean", "lam"), F.col("skey") == F.col("k")).groupBy("k").agg(got.alias("got"), slope.alias("slope"))
         gap = F.col("got") - F.col("target")
         now = state.join(sums, F.col("skey") == F.col("k"), "left").withColumn("off", F.when(F.col("fixed"), 0.0).otherwise(F.coalesce(gap, F.lit(0.0)) / F.greatest(F.col("target"), F.lit(1e-9))))
@@ -90,15 +90,19 @@ def balance(spark: SparkSession, sizes: DataFrame, sources: DataFrame, cap: floa
         state = save(spark, now.withColumn("next", step).select(*[F.col({"lam": "next", "lo": "lo2", "hi": "hi2"}.get(c, c)).alias(c) for c in names], "off"), "dual")
         if (state.agg(F.max(F.abs("off"))).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError("the rates of the sources don't settle")
     return state.withColumn("lam", F.when(~F.col("fixed"), F.col("lam"))).select("skey", "source_size", "target", "mean", "lam")
 
 
 def rounded(sizes: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFrame:
     """sizes(id, h, skey, size) with source_size, target, rate and copies."""
     state = solved.select(F.col("skey").alias("k"), "source_size", "target", "mean", "lam", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
-    rows = sizes.join(state, F.col("skey") == F.col("k"))
+    same = sizes.where("size > 0").groupBy("id", "h", "skey", "size").agg(F.count("*").alias("times"))  # equal rows are dealt to different blocks
+    rows = same.join(state, F.col("skey") == F.col("k")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     rate = F.when(F.col("lam").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("block", F.pmod(F.col("h"), F.greatest("blocks", F.lit(1))))
+    rows = rows.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("h", "nth"), F.greatest("blocks", F.lit(1))))
+    none = sizes.where("size = 0").join(state, F.col("skey") == F.col("k")).select("id", "h", "skey", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     item = F.struct((-F.col("size")).alias("neg"), "h", "id", "rate")
     blocks = rows.groupBy("skey", "block").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     copies = F.expr(f"""
@@ -106,7 +110,7 @@ def rounded(sizes: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFrame:
           'owed', acc.owed - x.neg * x.rate + x.neg * if(x.neg = 0, 0, least({cap}, greatest(0, cast(floor((acc.owed - x.neg * x.rate) / -x.neg + 0.5) AS int)))),
           'out', concat(acc.out, array(if(x.neg = 0, 0, least({cap}, greatest(0, cast(floor((acc.owed - x.neg * x.rate) / -x.neg + 0.5) AS int)))))))).out""")
     flat = blocks.select("skey", "source_size", "target", F.explode(F.arrays_zip("items", copies.alias("copies"))).alias("z"))
-    return flat.select(F.col("z.items.id").alias("id"), F.col("z.items.h").alias("h"), "skey", (-F.col("z.items.neg")).alias("size"), "source_size", "target", F.col("z.items.rate").alias("rate"), F.col("z.copies").alias("copies"))
+    return flat.select(F.col("z.items.id").alias("id"), F.col("z.items.h").alias("h"), "skey", (-F.col("z.items.neg")).alias("size"), "source_size", "target", F.col("z.items.rate").alias("rate"), F.col("z.copies").alias("copies")).unionByName(none)
 
 
 def copies_of(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
