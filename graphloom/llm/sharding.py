@@ -74,11 +74,10 @@ def plan(spark: SparkSession, base: DataFrame, shards: int = SHARDS, ranges: int
         return [], [1], {}
     fair = total / shards
     splitters = sorted(boundaries(next(iter(draw(base, [], ranges * draws / total, ranges)), {"keys": []})["keys"] or []))
-    stats: list = []
-    for again in range(4):
+    while True:  # each pass cuts every overfull range, so in the end each is full of one key or small enough
         stats = base.withColumn("r", range_of("key", splitters)).groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
         over = {s["r"]: s for s in stats if s["b"] > 4 * total / ranges and s["lo"] < s["hi"]}
-        if not over or again == 3:
+        if not over:
             break
         part = base.withColumn("r", range_of("key", splitters)).where(F.col("r").isin(list(over)))
         finer = draw(part, ["r"], ranges * draws / total, 16)
