@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm.common import field, give_back, table, unpack, whole_row
 
@@ -31,7 +32,7 @@ PROFILE = 300
 #: Bound on the documents that a language is learnt from, met in expectation.
 TRAIN = 8_000
 #: Characters counted at once.
-CHUNK = 2_000_000
+CHUNK = 400_000
 #: Languages that profiles are made for at most; more is an error, never a silent cut.
 MOST_LANGUAGES = 2_000
 UNKNOWN = "und"
@@ -226,7 +227,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     profiles = learn(spark, docs, id_col, text_col, lang_col)
     columns = docs.columns
     rows = whole_row(docs).withColumn("text", field(text_col))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}"
+    schema = StructType([rows.schema["row"]])
 
     def run(batches):
         for batch in batches:
