@@ -4,11 +4,14 @@ A legal conversation is an optional system turn, then user and assistant turns i
 alternation, ending with an assistant turn. Each given turn is put under some role
 (RELABEL if not its own) and either opens a turn or is merged into the turn before it
 (MERGE, same role); empty turns can be inserted (INSERT each). A shortest path through
-the automaton START -> SYSTEM? -> USER <-> ASSISTANT picks the cheapest repair; ties go
-to keeping, then merging, then relabelling, then inserting.
+the automaton START -> SYSTEM? -> USER <-> ASSISTANT picks the cheapest repair. Of equally
+cheap ones that is taken whose last move comes first in MOVES, then whose last but one
+does, and so on.
 
 A stretch of turns is summed up by its cheapest cost from each state to each state, a
-4 x 4 matrix, and stretches combine by (min, +) products. So a conversation of any
+4 x 4 matrix, with the order in which the ways from the four states to each state come among
+equally cheap ones; stretches combine by (min, +) products. Both are exact, so where a
+conversation is cut has no influence on its repair. So a conversation of any
 length is solved in blocks of BLOCK turn numbers: blocks give matrices, a conversation's
 matrices are chained, and each block then retraces its own path. Matrices are made from
 roles alone; the texts are shuffled once, each block's way sorted in ahead of its turns.
@@ -109,8 +112,31 @@ def forward(roles: list[int], start: int) -> tuple[list[int], list[tuple[int, ..
     return [c + base if c < FAR else FAR for c in cost], back
 
 
-def matrix(roles: list[int]) -> list[list[int]]:
-    return [forward(roles, s)[0] for s in range(4)]
+#: What a stretch of no turns does: costs from each state to each state, and the order of the starts for each end.
+NOTHING = tuple(tuple(0 if s == t else FAR for t in range(4)) for s in range(4)), ((0, 1, 2, 3),) * 4
+
+
+@cache
+def joint_step(costs, ranks, role: int):
+    """(costs, ranks, least costs, moves by start and end) of a stretch and one more turn; ranks[end][start]."""
+    new, least, by = zip(*(step(cost, role) for cost in costs))
+    order = []
+    for end in range(4):
+        last = [by[s][end] for s in range(4)]
+        first = sorted(range(4), key=lambda s: (len(MOVES), 0, s) if last[s] < 0 else (last[s], ranks[MOVES[last[s]][0]][s], s))
+        order.append(tuple(first.index(s) for s in range(4)))
+    return new, tuple(order), least, by
+
+
+def measure_block(roles: list[int]) -> tuple[list[list[int]], tuple, list[list[tuple[int, ...]]]]:
+    """(cheapest costs from each state to each, ranks[end][start] among equally cheap ways, each start's moves for every turn)."""
+    (costs, ranks), base, back = NOTHING, [0] * 4, [[] for _ in range(4)]
+    for role in roles:
+        costs, ranks, least, by = joint_step(costs, ranks, role)
+        for s in range(4):
+            base[s] += least[s]
+            back[s].append(by[s])
+    return [[c + base[s] if c < FAR else FAR for c in costs[s]] for s in range(4)], ranks, back
 
 
 def openings(back: list[tuple[int, ...]]) -> list[int]:
@@ -121,11 +147,11 @@ def openings(back: list[tuple[int, ...]]) -> list[int]:
     return opened
 
 
-def chain_blocks(matrices: list[list[list[int]]]) -> list[tuple[int, int]]:
-    """The states in which each block starts and ends on the cheapest way through all."""
+def chain_blocks(measured: list[tuple]) -> list[tuple[int, int]]:
+    """The states in which each block starts and ends on the cheapest way through all, from (costs, ranks) of each."""
     cost, back = [0, FAR, FAR, FAR], []
-    for m in matrices:
-        by = [min(range(4), key=lambda a: (cost[a] + m[a][b], a)) for b in range(4)]
+    for m, ranks in measured:
+        by = [min(range(4), key=lambda a: (min(FAR, cost[a] + m[a][b]), ranks[b][a])) for b in range(4)]
         cost = [min(FAR, cost[by[b]] + m[by[b]][b]) for b in range(4)]
         back.append(by)
     state = min(range(4), key=lambda s: cost[s] + INSERT * len(CLOSING[s]))
@@ -188,20 +214,21 @@ def repair(spark: SparkSession, turns: DataFrame, conv: str = "conv_id", turn: s
         for held in whole_groups(batches, 2):
             convs, blocks, roles = (held.column(c).to_pylist() for c in ("conv_id", "block", "role"))
             runs = bounds(convs, blocks)
-            costs, opens = [], []
+            costs, ranks, opens = [], [], []
             for a, b in runs:
-                ways = [forward([role_number(r) for r in roles[a:b]], s) for s in range(4)]
-                costs.append([c for cost, _ in ways for c in cost])
-                opens.append([n for _, back in ways for n in openings(back)])
+                cost, rank, back = measure_block([role_number(r) for r in roles[a:b]])
+                costs.append([c for row in cost for c in row])
+                ranks.append([r for row in rank for r in row])
+                opens.append([n for way in back for n in openings(way)])
             at = pa.array([a for a, _ in runs])
-            yield from pa.table({"conv_id": held["conv_id"].take(at), "block": held["block"].take(at), "costs": pa.array(costs, pa.list_(pa.int64())), "opens": pa.array(opens, pa.list_(pa.int64()))}).to_batches()
+            yield from pa.table({"conv_id": held["conv_id"].take(at), "block": held["block"].take(at), "costs": pa.array(costs, pa.list_(pa.int64())), "ranks": pa.array(ranks, pa.list_(pa.int32())), "opens": pa.array(opens, pa.list_(pa.int64()))}).to_batches()
 
     def link(batches):
         for held in whole_groups(batches, 1):
-            costs, opens = held["costs"].to_pylist(), held["opens"].to_pylist()
+            costs, ranks, opens = (held[c].to_pylist() for c in ("costs", "ranks", "opens"))
             enter, leave, last, before = [], [], [], []
             for a, b in bounds(held["conv_id"].to_pylist()):
-                ways = chain_blocks([[m[0:4], m[4:8], m[8:12], m[12:16]] for m in costs[a:b]])
+                ways = chain_blocks([([m[i : i + 4] for i in (0, 4, 8, 12)], [r[i : i + 4] for i in (0, 4, 8, 12)]) for m, r in zip(costs[a:b], ranks[a:b])])
                 enter += [x for x, _ in ways]
                 leave += [y for _, y in ways]
                 last += [False] * (len(ways) - 1) + [True]
@@ -235,7 +262,7 @@ def repair(spark: SparkSession, turns: DataFrame, conv: str = "conv_id", turn: s
 
     of_block = ["conv_id", "block"]
     narrow = rows.select(*of_block, "turn", "role").repartition(*of_block).sortWithinPartitions(*of_block, "turn", "role")
-    matrices = narrow.mapInArrow(measure, f"conv_id {kind}, block long, costs array<long>, opens array<long>")
+    matrices = narrow.mapInArrow(measure, f"conv_id {kind}, block long, costs array<long>, ranks array<int>, opens array<long>")
     ways = matrices.repartition("conv_id").sortWithinPartitions(*of_block).mapInArrow(link, f"conv_id {kind}, block long, enter int, leave int, last boolean, before long")
     ready = ways.unionByName(rows, allowMissingColumns=True).repartition(*of_block).sortWithinPartitions(*of_block, F.col("enter").asc_nulls_last(), "turn", "role", "text")
     steps = ready.mapInArrow(apply, f"conv_id {kind}, block long, nth long, out_turn long, turn long, action string, role string, text string")

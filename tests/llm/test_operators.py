@@ -293,10 +293,17 @@ def test_html_still_leaves_out_what_its_own_attributes_name(attributes):
 
 def test_line_dedup(spark, edge, empty):
     line = "a passage of seven words right here"
-    df = spark.createDataFrame([(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nother"), (3, f"x\n{line}"), (4, None)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], [tuple(s) for s in r["removed_spans"]]) for r in line_dedup.dedup_lines(spark, df).collect()}
-    assert got == {1: (f"start\n{line}\nend", []), 2: ("other", [(0, len(line) + 1)]), 3: ("x\n", [(2, 2 + len(line))]), 4: (None, [])}
-    assert line_dedup.dedup_lines(spark, edge).count() == len(EDGE) and line_dedup.dedup_lines(spark, empty).count() == 0
+    rows = [(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nother"), (3, f"x\n{line}"), (4, None), (5, f"Own. {line.title()}. No! Own words. Yes."), (6, "no! \n yes. Own"), (7, f"{line}\n"), (7, "two texts of one id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for counters in (1, 1024):  # with a split of frequent digests and without
+        got = {(r["doc_id"], r["text"], str([tuple(s) for s in r["removed_spans"]])) for r in line_dedup.dedup_lines(spark, df, counters=counters).collect()}
+        n = len(line)
+        assert got == {(1, rows[0][1], "[]"), (2, "other", f"[(0, {n + 1})]"), (3, "x\n", f"[(2, {2 + n})]"), (4, None, "[]"), (5, rows[4][1], "[]"), (6, rows[5][1], "[]"), (7, "", f"[(0, {n + 1})]"), (7, rows[7][1], "[]")}
+    assert line_dedup.dedup_lines(spark, spark.createDataFrame([(1, "One two three. Four five.\nOwn"), (2, "a\none  two THREE. four five.\n\nb")], "doc_id long, text string")).where("doc_id = 2").first()["text"] == "a\n\n\nb"
+    got = {(r["doc_id"], len(r["text"] or ""), len(r["removed_spans"])) for r in line_dedup.dedup_lines(spark, edge).collect()}
+    whole = len(EDGE[4][1])
+    assert got == {(1, 0, 0), (2, 0, 0), (3, 4, 0), (None, 4, 0), (5, whole, 0), (6, 0, 1), (7, 7, 0), (8, 300_000, 0)} and line_dedup.dedup_lines(spark, edge).count() == len(EDGE)
+    assert line_dedup.dedup_lines(spark, empty).count() == 0 and line_dedup.dedup_lines(spark, edge).columns == [*edge.columns, "removed_spans"]
 
 
 def test_chat(spark):
@@ -309,19 +316,63 @@ def test_chat(spark):
     assert got[2] == [(0, "insert", "user"), (1, "keep", "assistant")]
 
 
+def test_chat_edges(spark, edge, empty):
+    names = dict(conv="source", turn="row", role="lang", text="text")
+    assert chat.repair(spark, empty, **names).count() == 0
+    got = chat.repair(spark, edge, **names)
+    assert got.where("action <> 'insert'").count() == len(EDGE) and got.where("text is null and action <> 'insert'").count() == 1
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "x" * 300_000), (1, None, "system", "s")]
+    out = chat.repair(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("out_turn", "part").collect()
+    assert "".join(r["rendered"] for r in out) == f"<|system|>\ns<|end|>\n<|user|>\nq\n\nq<|end|>\n<|assistant|>\n{'x' * 300_000}"
+
+
+def test_chat_repair_does_not_depend_on_blocks(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool"]), f"{c}-{t}") for c in range(40) for t in range(rng.randrange(1, 14))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = []
+    for block in (1, 3, 2048):
+        out = defaultdict(list)
+        for r in chat.repair(spark, df, block=block).orderBy("conv_id", "out_turn", "part").collect():
+            out[r["conv_id"]].append((r["out_turn"], r["turn"], r["action"], r["role"], r["rendered"]))
+        got.append(out)
+    assert got[0] == got[1] == got[2]
+
+
+def cheapest(roles):
+    """The least cost of any legal repair, by trying every role for every turn."""
+    best = {chat.START: 0}
+    for given in roles:
+        new = {}
+        for state, cost in best.items():
+            for role in (chat.SYSTEM, chat.USER, chat.ASSISTANT):
+                price = cost + chat.RELABEL * (role != given)
+                ways = [price + chat.MERGE] if role == state else []
+                for first in ((), (chat.USER,), (chat.ASSISTANT,), (chat.USER, chat.ASSISTANT), (chat.ASSISTANT, chat.USER)):
+                    turns = [state, *first, role]
+                    if all(y in chat.NEXT[x] for x, y in zip(turns, turns[1:])):
+                        ways.append(price + chat.INSERT * len(first))
+                for way in ways:
+                    new[role] = min(new.get(role, way), way)
+        best = new
+    return min(c + {chat.SYSTEM: 2, chat.USER: 1, chat.ASSISTANT: 0, chat.START: 0}[s] * chat.INSERT for s, c in best.items())
+
+
 def test_chat_blocks_equal_whole():
     rng = random.Random(4)
-    for _ in range(50):
-        roles = [rng.randrange(4) for _ in range(rng.randrange(1, 12))]
-        blocks = [roles[i : i + 3] for i in range(0, len(roles), 3)]
-        ways = chat.chain_blocks([chat.matrix(b) for b in blocks])
-        steps = [s for k, (b, (x, y)) in enumerate(zip(blocks, ways)) for s in chat.trace(b, x, y, k == len(blocks) - 1)]
-        turns = [role for _, action, role in steps if action != "merge"]
+    for n in range(600):
+        roles = [rng.randrange(4) for _ in range(rng.randrange(1, 14))]
+        whole = chat.trace(roles, chat.START, chat.chain_blocks([chat.measure_block(roles)[:2]])[0][1], True)
+        for size in (1, 3, 5):
+            blocks = [roles[i : i + size] for i in range(0, len(roles), size)]
+            ways = chat.chain_blocks([chat.measure_block(b)[:2] for b in blocks])
+            steps = [(i + size * k if i >= 0 else -1, action, role) for k, (b, (x, y)) in enumerate(zip(blocks, ways)) for i, action, role in chat.trace(b, x, y, k == len(blocks) - 1)]
+            assert steps == whole
+        turns = [role for _, action, role in whole if action != "merge"]
         assert turns[-1] == chat.ASSISTANT and all(b in chat.NEXT[a] for a, b in zip([chat.START, *turns], turns))
-        given = [(role, action) for i, action, role in steps if i >= 0]
-        cost = sum((r != o) * chat.RELABEL + (a == "merge") * chat.MERGE for (r, a), o in zip(given, roles)) + chat.INSERT * sum(i < 0 for i, _, _ in steps)
-        whole, _ = chat.forward(roles, chat.START)
-        assert cost == min(c + chat.INSERT * len(chat.CLOSING[s]) for s, c in enumerate(whole))
+        given = [(role, action) for i, action, role in whole if i >= 0]
+        cost = sum((r != o) * chat.RELABEL + (a == "merge") * chat.MERGE for (r, a), o in zip(given, roles)) + chat.INSERT * sum(i < 0 for i, _, _ in whole)
+        assert cost == cheapest(roles)
 
 
 def test_pipeline(spark, sf):
