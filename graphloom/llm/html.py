@@ -1,20 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into tags and text with a tolerant scanner; a stack of open elements gives
-every text its root-to-leaf tag path. Parts that say by their element or by the words of
-their class, id or role what they are (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments and the like) are left out. For each tag path the text
-length, punctuation and number of occurrences are summed; the ratios length/occurrence
-and 1 + punctuation/occurrence, less the share of linked text, are multiplied, laid out
-along the page and smoothed by a Gaussian window. Paths that reach THRESHOLD of the mean
-hold the content; the deepest element around all of their text is the article (where
-<article> or <main> elements hold COVER of it, the one of them with most of it is taken
-as such). All that is left in it is the text: a block's white space is one space, blocks
-are joined in page order.
+every text its root-to-leaf tag path. Elements that are no article by their kind (menus, forms,
+scripts and the like) are left out, and so are containers whose class, id or role says in
+whole words what they are; a single block of text with such a name goes only if its own ratio is
+low as well. For each tag path the text length, punctuation and number of occurrences are
+summed; the ratios length/occurrence and 1 + punctuation/occurrence, less the share of
+linked text, are multiplied, laid out along the page and smoothed by a Gaussian window.
+Each text counts for every element around it by how far its path is above THRESHOLD of
+the mean, or below it, and a block of links counts against it; the element with the largest sum is the article (where <article> or
+<main> elements hold COVER of the text above the threshold, the one of them with most of it is
+taken as such). All that is left in it is the text: a block's white space is one space,
+blocks are joined in page order.
 
 Defined cases: null or empty html, or html without content, gives the empty text;
-unclosed elements end where html lets them end, or with the page; a page without any
-element is text.
+unclosed elements end where html lets them end, or with the page; elements may be nested to
+any depth; a page without any element is text; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -38,12 +39,15 @@ RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in ("scrip
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
 DROPPED = set("nav footer aside form script style noscript head template iframe select button input textarea svg canvas object embed menu dialog audio video map datalist".split())
-#: Words of a class, id or role that name a part outside the article.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menus?|breadcrumbs?|side-?bars?|aside|complementary|footers?|contentinfo|mast-?head|headers?|site-?header|page-?header|"
-    r"cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|forms?|search|share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|reply|replies|disqus|discussion|pagination|pager|widgets?|toolbar|skip|tags?|copyright|legal|disclaimer|teaser)(?:$|[\s_-])", re.I
-)
-KEEP = re.compile(r"(?:^|[\s_-])(?:article|post|entry|main|content|story|body|page|text)(?:$|[\s_-])", re.I)
+#: Words of a class, id or role that name a part outside the article; how such words start; words that name a part of it; and words that outweigh those.
+BOILER = set("ad ads advert adverts adsense nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside complementary footer footers contentinfo masthead header headers cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter signup login form forms search share sharing social related comment comments commentlist respond reply replies disqus discussion pagination pager widget widgets toolbar skip tag tags copyright legal disclaimer teaser".split())
+STARTS = ("advertis", "sponsor", "promo", "banner", "subscri", "recommend")
+KEEP = set("article post entry main content story body page text".split())
+VETO = set("ad ads advert adverts comment comments sidebar side footer foot nav navigation menu".split())
+#: Elements that are a single block of text, or less.
+SINGLE = INLINE | set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
+#: Elements that no class leaves out.
+KEPT = set("article main h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these closes an open one of those, up to the nearest of the last.
 CLOSES = {"p": ({"p"}, {"td", "th", "li", "div", "article", "section", "blockquote", "body", "table", "button"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -51,35 +55,46 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 
 
 class Open:
-    """An element that is open: its tag path, and whether it is left out."""
+    """An element that is open: the number of its tag path, and whether it is left out, or named like what is."""
 
-    __slots__ = ("name", "path", "out", "link", "article", "up")
+    __slots__ = ("name", "path", "depth", "out", "named", "link", "article", "up")
 
-    def __init__(self, name, up, out, article):
+    def __init__(self, name, up, out, named, article, paths):
         self.name, self.up, self.out, self.article = name, up, out, article
-        self.path = f"{up.path}/{name}" if up else name
+        self.path = paths.setdefault((up.path, name), len(paths) + 1) if up else 0
+        self.depth = up.depth + 1 if up else 0
+        self.named = named or bool(up and up.named)
         self.link = name == "a" or bool(up and up.link)
 
 
-def left_out(name: str, attributes: str, up: Open) -> bool:
+def words_of(value: str) -> set[str]:
+    return set(re.split(r"[\s_-]+", value.lower()))
+
+
+def boilerplate(words: set[str]) -> bool:
+    return any(w in BOILER or w.startswith(STARTS) for w in words)
+
+
+def judged(name: str, attributes: str, up: Open) -> tuple[bool, bool]:
+    """(left out, a single block named like what is left out)."""
     if name in DROPPED or up.out:
-        return True
-    if name == "header" and not up.article:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    for key, *values in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), next(filter(None, values), "")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and BOILER.search(value) and not (name in ("article", "main") or KEEP.search(value) and not re.search("comment|side|foot|nav|menu|ad", value, re.I)):
-            return True
-    return False
+        return True, False
+    named = name == "header" and not up.article
+    if attributes and name not in ("html", "body"):
+        for key, *values in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), next(filter(None, values), "")
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return True, False
+            if key in ("class", "id", "role") and name not in KEPT:
+                words = words_of(value)
+                named = (named or boilerplate(words)) and (bool(words & VETO) or not words & KEEP)
+    return named and name not in SINGLE, named
 
 
 def blocks(page: str) -> list[tuple[Open, int, str, int, int]]:
     """(element, block, text, length, linked length) of every text that isn't left out, in page order."""
-    root = Open("", None, False, False)
+    paths: dict[tuple[int, str], int] = {}
+    root = Open("", None, False, False, False, paths)
     stack, found, block, at = [root], [], 0, 0
     here = root
 
@@ -124,7 +139,7 @@ def blocks(page: str) -> list[tuple[Open, int, str, int, int]]:
             end = RAW[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        here = Open(name, here, left_out(name, m[3], here), here.article or name in ("article", "main"))
+        here = Open(name, here, *judged(name, m[3], here), here.article or name in ("article", "main"), paths)
         stack.append(here)
     out = []
     for e, b, t in found:
@@ -142,8 +157,8 @@ def close(stack: list[Open], names: set[str], until: set[str]) -> None:
             return
 
 
-def content(parts) -> Open | None:
-    """The element that holds the article."""
+def content(parts) -> tuple[Open | None, set[int]]:
+    """The element that holds the article, and the blocks that go for both their name and their ratio."""
     length, linked, marks, times = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for e, _, t, size, link in parts:
         if size:
@@ -152,7 +167,7 @@ def content(parts) -> Open | None:
             marks[e.path] += len(PUNCTUATION.findall(t))
             times[e.path] += 1
     if not length:
-        return None
+        return None, set()
     ratio = {p: length[p] / n * (1 + marks[p] / n) * (1 - linked[p] / length[p]) for p, n in times.items()}
     full = [x for x in parts if x[3]]
     line = [math.sqrt(ratio[x[0].path]) for x in full]
@@ -165,40 +180,55 @@ def content(parts) -> Open | None:
     best = defaultdict(list)
     for s, x in zip(smooth, full):
         best[x[0].path].append(s)
-    chosen = {p for p, s in best.items() if sum(s) / len(s) >= THRESHOLD * mean}
-    weight: dict[int, int] = defaultdict(int)
-    seen: dict[int, Open] = {}
-    total = 0
-    for e, _, _, size, _ in full:
-        if e.path in chosen:
-            total += size
-            while e is not None:
-                weight[id(e)] += size
-                seen[id(e)] = e
-                e = e.up
-    named = [e for k, e in seen.items() if e.name in ("article", "main") and weight[k] >= COVER * total]
-    return max(named or seen.values(), key=lambda e: (weight[id(e)], e.path.count("/")), default=None)
+    fused = {p: sum(s) / len(s) for p, s in best.items()}
+    low = {x[1] for x in full if x[0].named and math.sqrt(x[3] * (1 + len(PUNCTUATION.findall(x[2]))) * (1 - x[4] / x[3])) < THRESHOLD * mean}
+    own: dict[int, list] = {}
+    whole, links = defaultdict(int), defaultdict(int)
+    for _, b, _, size, link in full:
+        whole[b] += size
+        links[b] += link
+    for e, b, _, size, link in full:  # gain, then length above the threshold
+        sums = own.setdefault(id(e), [e, 0.0, 0])
+        if links[b] >= COVER * whole[b]:
+            sums[1] -= mean  # a block of links
+        elif not link:
+            sums[1] += min(fused[e.path], mean) - THRESHOLD * mean
+        sums[2] += size * (fused[e.path] >= THRESHOLD * mean)
+    held = dict(own)
+    for e, _, _ in list(own.values()):
+        while e.up is not None and id(e.up) not in held:
+            e = e.up
+            held[id(e)] = [e, 0.0, 0]
+    for e, gain, size in sorted(held.values(), key=lambda x: -x[0].depth):  # from the leaves up
+        if e.up is not None:
+            up = held[id(e.up)]
+            up[1] += held[id(e)][1]
+            up[2] += held[id(e)][2]
+    total = max(x[2] for x in held.values())
+    named = [x for x in held.values() if x[0].name in ("article", "main") and x[2] >= COVER * total]
+    if named:
+        return max(named, key=lambda x: (x[2], x[0].depth))[0], low
+    return max(held.values(), key=lambda x: (round(x[1], 9), x[0].depth))[0], low
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     parts = blocks(page or "")
-    top = content(parts)
+    top, low = content(parts)
     if top is None:
         return ""
-    while top.name in INLINE or top.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"):
+    while top.name in SINGLE:
         top = top.up  # a single block isn't the whole article
-    inside: dict[int, bool] = {}
-
-    def within(e) -> bool:
-        got = inside.get(id(e))
-        if got is None:
-            got = inside[id(e)] = e is top or (e.up is not None and within(e.up))
-        return got
-
+    inside = {id(top): True}
     lines: dict[int, list[str]] = {}
     for e, b, t, _, _ in parts:
-        if within(e):
+        climbed = []
+        while e is not None and id(e) not in inside:
+            climbed.append(id(e))
+            e = e.up
+        got = e is not None and inside[id(e)]
+        inside.update(dict.fromkeys(climbed, got))
+        if got and b not in low:
             lines.setdefault(b, []).append(t)
     return " ".join(filter(None, (" ".join("".join(x).split()) for x in lines.values())))
 

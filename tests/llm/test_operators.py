@@ -291,6 +291,30 @@ def test_html_still_leaves_out_what_its_own_attributes_name(attributes):
     assert html.extract(f"<body><p>Some words, and more, go on.</p><div {attributes}><p>Left out, as it says.</p></div><p>And an end.</p></body>") == "Some words, and more, go on. And an end."
 
 
+@pytest.mark.parametrize("head", ['<header class="entry-header"><h1>Title</h1></header>', '<div class="post-header"><h1>Title</h1></div>', "<header><h1>Title</h1></header>", '<h1 class="social">Title</h1>'])
+def test_html_keeps_titles_and_named_paragraphs(head):
+    body = "".join(f'<p class="{c}">A paragraph named so, with words, marks, and more of them.</p>' for c in ("social", "tags", "copyright-law", "x"))
+    text = " ".join(["Title"] + ["A paragraph named so, with words, marks, and more of them."] * 4)
+    for tag in ("article", "div")[: 1 if head.startswith("<header>") else 2]:
+        assert html.extract(f"<body><nav>Menu</nav><{tag}>{head}{body}<p class='copyright'>(c)</p><div class='share'><p>Share it</p></div></{tag}><footer>Legal</footer></body>") == text
+
+
+def test_html_names_do_not_decide(spark):
+    """With neutral names for its elements and classes, the text of every page stays."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    neutral = [p.replace('class="ad"', 'class="k1"').replace("<nav>", "<div>").replace("</nav>", "</div>").replace("<footer", "<div").replace("</footer", "</div").replace("<article", "<div").replace("</article", "</div") for p in pages]
+    assert sum(html.extract(a) != html.extract(b) for a, b in zip(pages, neutral)) <= 0
+
+
+def test_html_pages(spark):
+    deep = "<div>" * 50_000 + "<p>deep, text.</p>"
+    rows = [(1, "u", None, "a"), (2, None, "", "b"), (None, "u", "<p>one &lt; two</p><p> 3\n4</p>", "c"), (4, "u", deep, "d"), (4, "u", deep, "d"), (5, "u", "<b>" * 20_000 + "x", "e")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract_pages(df).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "one < two 3 4", 13), (4, "u", "deep, text.", 11), (4, "u", "deep, text.", 11), (5, "u", "x", 1)], key=str)
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
 def test_line_dedup(spark, edge, empty):
     line = "a passage of seven words right here"
     rows = [(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nother"), (3, f"x\n{line}"), (4, None), (5, f"Own. {line.title()}. No! Own words. Yes."), (6, "no! \n yes. Own"), (7, f"{line}\n"), (7, "two texts of one id")]
