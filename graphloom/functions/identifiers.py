@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,3 +94,17 @@ def half_life(days: Column, half: float) -> Column:
 def half_up(value: Column, digits: int = 3) -> Column:
     """Rounds halves up, as floor(v * 10^n + 0.5) does."""
     return F.floor(value * 10**digits + 0.5) / float(10**digits)
+
+
+def glob_regex(glob: str) -> str:
+    """The pattern of a path glob: `**` crosses folders, `*` and `?` don't; `**/` may also be nothing."""
+    out, at = "", 0
+    while at < len(glob):
+        if glob.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif glob.startswith("**", at):
+            out, at = out + ".*", at + 2
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[at], re.escape(glob[at]))
+            at += 1
+    return f"^{out}$"

@@ -29,6 +29,7 @@ def bfs(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, dir
     steps = directed(edges if kinds is None else edges.where(F.col("kind").isin(*kinds)), direction)
     if nodes is not None:
         steps = steps.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    steps = save(spark, steps.distinct(), "steps") if depth > 1 else steps  # built once, read at each level
     start = seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"))
     seen = frontier = save(spark, start, "bfs")
     first = Window.partitionBy("id").orderBy("parent", "kind")
@@ -42,6 +43,21 @@ def bfs(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, dir
     return seen
 
 
+def ancestors(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, id, depth, path) of all that simple ways of `depth` edges at most lead to from each seed."""
+    steps = save(spark, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "steps")
+    at = seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("way"))
+    found = None
+    for level in range(1, depth + 1):
+        met = at.join(steps, F.col("id") == F.col("a")).where(~F.array_contains("way", F.col("b")))
+        at = save(spark, met.select("seed", F.col("b").alias("id"), F.concat("way", F.array("b")).alias("way")), "ways")
+        here = at.select("seed", "id", F.lit(level).alias("depth"), F.array_join("way", " > ").alias("path"))
+        found = here if found is None else found.unionByName(here)
+        if not at.limit(1).count():
+            break
+    return found
+
+
 def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, kinds: tuple, direction: str = "out") -> DataFrame:
     """(id): everything reachable, seeds included; targets need not be nodes; no kinds, only the seeds."""
     return bfs(spark, edges, seeds, 1 << 30 if kinds else 0, direction, kinds or None).select("id")
