@@ -166,10 +166,11 @@ def hotspots(spark, sf):
 
 
 @query("""k AS (SELECT kind, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM edges GROUP BY kind), i AS (SELECT dst AS id, count(*) AS c FROM edges GROUP BY dst),
-s AS (SELECT e.src, e.dst, e.kind, e.line, round(CASE WHEN a.repo_prefix <> b.repo_prefix THEN 0.3 ELSE 0 END + CASE WHEN a.language <> b.language THEN 0.2 ELSE 0 END + CASE WHEN coalesce(i.c, 0) <= 2 AND j.c >= 10 THEN 0.2 ELSE 0 END + CASE WHEN k.share <= 5 THEN 0.15 ELSE 0 END, 3) AS score
+s AS (SELECT e.src, e.dst, e.kind, e.line, round(CASE WHEN a.repo_prefix <> b.repo_prefix THEN 0.3 ELSE 0 END + CASE WHEN a.language <> b.language THEN 0.2 ELSE 0 END + CASE WHEN coalesce(i.c, 0) <= 2 AND j.c >= 10 THEN 0.2 ELSE 0 END + CASE WHEN k.share <= 5 THEN 0.15 ELSE 0 END + CASE WHEN (a.language = 'MACHINERY') <> (b.language = 'MACHINERY') THEN 0.15 ELSE 0 END, 3) AS score
 FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst LEFT JOIN i ON i.id = e.src LEFT JOIN i j ON j.id = e.dst JOIN k ON k.kind = e.kind)
 SELECT src, dst, kind, line, CAST(score AS DOUBLE) AS score FROM s WHERE score >= 0.6""", graph=True)
 def surprising_connections(spark, sf):
+    """Edges across repositories, languages, from the periphery to a hub, of a rare kind, or between tests (segment MACHINERY) and the rest."""
     n, e = nodes(spark, sf).select("id", "repo_prefix", "language"), edges(spark, sf).select("src", "dst", "kind", "line")
     fan = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("c"))
     kinds = {r["kind"]: r["count"] for r in e.groupBy("kind").count().collect()}  # one row a kind
@@ -178,18 +179,18 @@ def surprising_connections(spark, sf):
     n = n.join(fan, "id", "left")
     a, b = (n.select(F.col("id").alias(end), F.col("repo_prefix").alias(f"r_{end}"), F.col("language").alias(f"l_{end}"), F.col("c").alias(f"c_{end}")) for end in ("src", "dst"))
     part = lambda test, w: F.when(test, w).otherwise(0.0)
-    score = part(F.col("r_src") != F.col("r_dst"), 0.3) + part(F.col("l_src") != F.col("l_dst"), 0.2) + part((F.coalesce("c_src", F.lit(0)) <= 2) & (F.col("c_dst") >= 10), 0.2) + part(F.col("kind").isin(*rare), 0.15)
+    score = part(F.col("r_src") != F.col("r_dst"), 0.3) + part(F.col("l_src") != F.col("l_dst"), 0.2) + part((F.coalesce("c_src", F.lit(0)) <= 2) & (F.col("c_dst") >= 10), 0.2) + part(F.col("kind").isin(*rare), 0.15) + part((F.col("l_src") == "MACHINERY") != (F.col("l_dst") == "MACHINERY"), 0.15)
     return e.join(a, "src").join(b, "dst").select("src", "dst", "kind", "line", F.round(score, 3).alias("score")).where("score >= 0.6")
 
 
 @query("""c AS (SELECT n.id, n.end_line - n.start_line + 1 AS lines, count(DISTINCT e.src) AS callers FROM nodes n JOIN edges e ON e.dst = n.id AND e.kind = 'calls' WHERE n.kind = 'method' GROUP BY ALL), o AS (SELECT src AS id, count(DISTINCT dst) AS fan_out FROM edges GROUP BY src)
-SELECT c.id, lines, callers, fan_out, round(ln(1 + lines) * ln(1 + callers) * ln(1 + fan_out), 6) AS score FROM c JOIN o ON o.id = c.id WHERE lines >= 20 AND callers >= 2""", graph=True)
+SELECT c.id, lines, callers, fan_out, round(ln(1 + lines) * ln(1 + callers) * ln(1 + fan_out), 6) AS score FROM c JOIN o ON o.id = c.id WHERE lines >= 20 AND callers >= 2 AND fan_out >= 5""", graph=True)
 def extraction_candidates(spark, sf):
     e = edges(spark, sf)
     callers = e.where("kind = 'calls'").groupBy(F.col("dst").alias("at")).agg(F.count_distinct("src").alias("callers"))
     out = e.groupBy(F.col("src").alias("of")).agg(F.count_distinct("dst").alias("fan_out"))
     n = nodes(spark, sf).where("kind = 'method'").select("id", (F.col("end_line") - F.col("start_line") + 1).alias("lines")).where("lines >= 20")
-    j = n.join(callers, F.col("id") == F.col("at")).join(out, F.col("id") == F.col("of")).where("callers >= 2")
+    j = n.join(callers, F.col("id") == F.col("at")).join(out, F.col("id") == F.col("of")).where("callers >= 2 and fan_out >= 5")
     return j.select("id", "lines", "callers", "fan_out", F.round(F.log1p("lines") * F.log1p("callers") * F.log1p("fan_out"), 6).alias("score"))
 
 

@@ -58,15 +58,26 @@ def rank_fusion(spark, sf):
     return search.fuse(channel("p_retailprice"), channel("p_size"), 0.6)
 
 
-@query("""f AS (SELECT n.id, n.name, n.language, count(e.src) AS fan_in FROM nodes n LEFT JOIN edges e ON e.dst = n.id WHERE n.kind = 'method' GROUP BY ALL), m AS (SELECT max(fan_in) AS top FROM f)
-SELECT id, round(0.6 * ln(1 + fan_in) / ln(1 + top) + CASE WHEN starts_with(lower(name), 'part 1') THEN 0.4 ELSE 0 END, 6) AS score FROM f, m WHERE fan_in >= 2 ORDER BY score DESC, length(name), id LIMIT 100""", graph=True)
+#: The weights of winnow's axes.
+WINNOW = {"text_match": 1.0, "fan_in": 0.7, "fan_out": 0.3, "churn": 0.5}
+
+
+@query("""i AS (SELECT dst AS id, count(*) AS fan_in FROM edges GROUP BY dst), o AS (SELECT src AS id, count(*) AS fan_out FROM edges GROUP BY src), h AS (SELECT 'part/' || l_partkey AS id, count(*) AS churn FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+f AS (SELECT n.id, n.name, CASE WHEN starts_with(lower(n.name), 'red') THEN 2 WHEN contains(lower(n.name), 'ring') THEN 1 ELSE 0 END AS txt, fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(churn, 0) AS churn FROM nodes n JOIN i ON i.id = n.id LEFT JOIN o ON o.id = n.id LEFT JOIN h ON h.id = n.id WHERE n.kind = 'method' AND fan_in >= 2),
+m AS (SELECT max(txt) AS t, max(fan_in) AS i, max(fan_out) AS o, max(churn) AS c FROM f)
+SELECT id, round(coalesce(1.0::DOUBLE * txt / nullif(t, 0), 0) + coalesce(0.7::DOUBLE * fan_in / nullif(i, 0), 0) + coalesce(0.3::DOUBLE * fan_out / nullif(o, 0), 0) + coalesce(0.5::DOUBLE * churn / nullif(c, 0), 0), 6) AS score FROM f, m ORDER BY score DESC, length(name), id LIMIT 100""", graph=True)
 def winnow(spark, sf):
-    """Constraint chain: kind, least fan-in, then a score of fan-in and definition bias."""
-    fan = edges(spark, sf).groupBy(F.col("dst").alias("at")).agg(F.count("*").alias("fan_in"))
-    rows = nodes(spark, sf).where("kind = 'method'").select("id", "name").join(fan, F.col("id") == F.col("at"))
-    top = rows.agg(F.max("fan_in")).first()[0] or 0
-    score = 0.6 * F.log1p("fan_in") / F.log1p(F.lit(top)) + F.when(F.lower("name").startswith("part 1"), 0.4).otherwise(0.0)
-    return rows.where("fan_in >= 2").select("id", F.round(score, 6).alias("score"), "name").orderBy(F.col("score").desc(), F.length("name"), "id").limit(100).select("id", "score")
+    """Constraint chain: kind and least fan-in, then text match, fan-in, fan-out and churn, each by its maximum, with fixed weights."""
+    e = edges(spark, sf)
+    into, out = e.groupBy(F.col("dst").alias("i_id")).agg(F.count("*").alias("fan_in")).where("fan_in >= 2"), e.groupBy(F.col("src").alias("o_id")).agg(F.count("*").alias("fan_out"))
+    churn = read(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("h_id")).agg(F.count("*").alias("churn"))
+    text = F.when(F.lower("name").startswith("red"), 2).when(F.lower("name").contains("ring"), 1).otherwise(0)
+    rows = nodes(spark, sf).where("kind = 'method'").select("id", "name", text.alias("text_match"))
+    rows = rows.join(into, F.col("id") == F.col("i_id")).join(out, F.col("id") == F.col("o_id"), "left").join(churn, F.col("id") == F.col("h_id"), "left").fillna(0, ["fan_out", "churn"])
+    tops = rows.agg(*[F.max(c).alias(c) for c in WINNOW]).first()  # four numbers
+    score = sum((F.lit(w) * F.col(c) / F.lit(tops[c]) for c, w in WINNOW.items() if tops[c]), F.lit(0.0))
+    scored = rows.select("id", "name", F.round(score, 6).alias("score"))
+    return scored.orderBy(F.col("score").desc(), F.length("name"), "id").limit(100).select("id", "score")
 
 
 @query("""WITH t AS (SELECT DISTINCT p_partkey AS id, unnest(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) AS token FROM part), u AS (SELECT * FROM t WHERE len(token) >= 3),
