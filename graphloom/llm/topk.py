@@ -7,7 +7,7 @@ own component is positive and from the small end where it is negative, scores ev
 candidate it meets for the first time in full, and stops when the sum of what the next
 entries could still add is below its k-th score. The blocks' best are merged by query.
 
-Defined cases: a vector that is null or holds a null or non-finite component takes no
+Defined cases: ids are integers; a vector that is null or holds a null or non-finite component takes no
 part; vectors of different lengths are never candidates of one another; an empty vector
 scores 0; ties go to the smaller id; a row repeated under one id is the query's own row
 and is no candidate of it, but counts as often as it occurs for other queries; a query
