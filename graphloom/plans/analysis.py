@@ -187,7 +187,7 @@ def ranking_quality(spark, sf):
 def frecency_and_novelty(spark, sf):
     """Half-life of ten days, boost of 1.5 at most; novelty falls from one to none within thirty days."""
     e = read(spark, sf, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    days = F.timestamp_diff("SECOND", F.col("ts"), F.lit(now)) / 86400.0
+    now = e.agg(F.max(F.unix_timestamp("ts"))).first()[0]
+    days = (F.lit(now) - F.unix_timestamp("ts")) / 86400.0
     by = e.groupBy("user_id").agg(F.sum(F.pow(F.lit(0.5), days / 10)).alias("f"), F.min(days).alias("d"))
     return by.select("user_id", F.round(F.least(F.lit(1.5), "f"), 4).alias("frecency"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("d") / 30)), 4).alias("novelty"))

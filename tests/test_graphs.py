@@ -177,3 +177,17 @@ def test_trigram_postings_then_verified(spark):
     assert got(search.trigram_search, "漢😀é") == [9] and got(search.trigram_search, "de") == [1, 2, 3, 7, None] and got(search.trigram_search, "nowhere") == []
     post = {tuple(r) for r in search.trigram_postings(df.where("id < 4"), "id", "t").collect()}
     assert post == {(i, t[k : k + 3]) for i, t in rows[:3] for k in range(len(t) - 2)}
+
+
+def test_hits_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    weight = {(f"n{a}", f"n{b}"): float(rng.integers(1, 5)) for a in range(8) for b in range(8) if a != b and rng.random() < 0.4}
+    got = {r["id"]: (r["authority"], r["hub"]) for r in centrality.hits(spark, spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "src string, dst string, weight double"), 60).collect()}
+    names = sorted({x for e in weight for x in e})
+    m = np.array([[weight.get((a, b), 0.0) for b in names] for a in names])
+    _, _, v = np.linalg.svd(m)
+    for k, want in ((0, np.abs(v[0])), (1, np.abs(m @ v[0]))):  # the first singular vectors, up to scale
+        mine = np.array([got[x][k] for x in names])
+        assert np.allclose(mine / np.linalg.norm(mine), want / np.linalg.norm(want), atol=1e-4)
