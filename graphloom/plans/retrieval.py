@@ -90,22 +90,46 @@ def auto_concepts(spark, sf):
     return by.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy(F.col("n").desc(), "sibling"))).where("k <= 6").drop("k")
 
 
-PARAMS = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(clones.parameters()))
+PARAMS = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(clones.parameters()))
+KEPT = ", ".join(f"'{w}'" for w in sorted(clones.KEYWORDS))
+LEX = clones.LEX.replace("'", "''")
 
 
-@query(f"""WITH w AS (SELECT item_id AS id, {WORDS} AS t FROM benchmark), g AS (SELECT DISTINCT id, CAST(('0x' || substr(md5(array_to_string(list_slice(t, i, i + 2), ' ')), 1, 8)) AS BIGINT) AS h FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM w WHERE len(t) >= 24)),
-p(i, a, b) AS (VALUES {PARAMS}) SELECT id, CAST(sum(s) AS BIGINT) AS signature_sum FROM (SELECT id, i, min((((a * (h // 65536)) % {clones.PRIME} * 65536 + a * (h % 65536)) + b) % {clones.PRIME}) AS s FROM g, p GROUP BY id, i) GROUP BY id""")
+@query(rf"""WITH w AS (SELECT item_id AS id, list_transform(regexp_extract_all(text, '(?s)(?:{LEX})'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z_$\x{{80}}-\x{{10FFFF}}]') THEN CASE WHEN lower(t) IN ({KEPT}) THEN lower(t) ELSE 'v' END WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN t[1] IN ('"', '`', chr(39)) THEN 's' ELSE t END) AS t FROM benchmark),
+g AS (SELECT DISTINCT id, len(t) AS tokens, hex(t[i]) || '00' || hex(t[i + 1]) || '00' || hex(t[i + 2]) || '00' AS x FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM w WHERE len(t) >= {clones.LEAST_TOKENS})),
+f AS (SELECT x, list_reduce(list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) % {clones.PRIME} AS h FROM (SELECT DISTINCT x FROM g)),
+p(i, a, b) AS (VALUES {PARAMS}), s AS (SELECT id, tokens, i, min((a * h + b) % {clones.PRIME}) AS s FROM g JOIN f USING (x), p GROUP BY ALL)
+SELECT id, any_value(tokens) AS tokens, md5(string_agg(s::VARCHAR, ',' ORDER BY i)) AS signature_md5 FROM s GROUP BY id""")
 def minhash_signatures(spark, sf):
     signed = clones.signatures(clones.shingles(read(spark, sf, "benchmark"), "item_id", "text"))
-    return signed.select("id", sum((F.col(f"s{i}") for i in range(clones.SLOTS)), F.lit(0).cast("long")).alias("signature_sum"))
+    return signed.select("id", "tokens", F.md5(F.array_join("sig", ",")).alias("signature_md5"))
+
+
+def _passages(spark, sf):
+    """The benchmark's passages and copies of them under new ids, with a tail."""
+    b = read(spark, sf, "benchmark")
+    both = b.select("item_id", "text").unionByName(b.select((F.col("item_id") + 1_000_000).alias("item_id"), F.concat("text", F.lit(" tail")).alias("text")))
+    return save(spark, clones.signatures(clones.shingles(both, "item_id", "text")), "signatures")
 
 
 @query()
 def clone_pairs(spark, sf):
-    """Near-duplicate pairs of the benchmark's passages with themselves and copies under new ids."""
+    return clones.pairs(spark, _passages(spark, sf))
+
+
+@query()
+def clone_clusters(spark, sf):
+    """Clusters of clones, the larger ones first."""
+    found = clones.clusters(spark, clones.pairs(spark, _passages(spark, sf)))
+    return found.select("cluster", "size", F.round("similarity", 6).alias("similarity")).orderBy(F.col("size").desc(), "cluster")
+
+
+@query()
+def clone_boilerplate(spark, sf):
+    """Lengths and sizes of what remains of each passage without shingles that more than three in ten share."""
     b = read(spark, sf, "benchmark")
-    both = b.select("item_id", "text").unionByName(b.select((F.col("item_id") + 1_000_000).alias("item_id"), F.concat("text", F.lit(" tail")).alias("text")))
-    return clones.pairs(save(spark, clones.signatures(clones.shingles(both, "item_id", "text")), "signatures"))
+    left = clones.without_boilerplate(spark, clones.shingles(b, "item_id", "text"), max(1, b.count() * 3 // 10), 8)
+    return left.groupBy("id", "tokens").agg(F.count("*").alias("shingles"))
 
 
 @query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)

@@ -61,11 +61,45 @@ def test_components_empty(spark):
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+BODIES = {
+    "a": "func Sum(items []int) int { total := 0; for _, item := range items { if item > 10 { total += item } else { total -= 1 } } return total }",
+    "b": "func Add(rows []int) int { acc := 5; for _, row := range rows { if row > 99 { acc += row } else { acc -= 7 } } return acc }",
+    "c": "class Shop: def open(self, key): while not self.ready(key, 'x'): await self.wait(key); self.log('opened', key); raise Closed(self, key) or None",
+}
+
+
+def test_lexing_and_published_hash():
+    assert clones.lex('If (x1 == 0x1F) { "a\\"b" } é') == ["if", "(", "v", "==", "0", ")", "{", "s", "}", "v"]
+    assert clones.lex("'open to the end") == ["s"] and clones.lex(None) == []
+    assert clones.fnv(()) == 0xCBF29CE484222325
+    h = 0xCBF29CE484222325
+    for byte in b"if\0v\0":
+        h = (h ^ byte) * 0x100000001B3 & (1 << 64) - 1
+    assert clones.fnv(("if", "v")) == h
+
+
 def test_clone_pair(spark):
-    body = " ".join(f"tok{i}" for i in range(60))
-    df = spark.createDataFrame([("a", body), ("b", body + " end"), ("c", " ".join(f"x{i * 7}" for i in range(60)))], "id string, t string")
-    got = clones.pairs(clones.signatures(clones.shingles(df, "id", "t"))).collect()
-    assert [(r["a"], r["b"]) for r in got] == [("a", "b")] and got[0]["similarity"] >= 0.82
+    df = spark.createDataFrame([*BODIES.items(), ("d", BODIES["a"]), ("e", None), ("f", "too short")], "id string, t string")
+    signed = clones.signatures(clones.shingles(df, "id", "t"))
+    got = {(r["a"], r["b"]): r["similarity"] for r in clones.pairs(spark, signed).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "d"): 1.0}  # renamed variables and numbers change nothing
+    params = clones.parameters()
+    for r in signed.collect():
+        tokens = clones.lex(dict(df.collect())[r["id"]])
+        grams = {clones.fnv(g) for g in zip(tokens, tokens[1:], tokens[2:])}
+        assert r["sig"] == [min((a * (g % clones.PRIME) + b) % clones.PRIME for g in grams) for a, b in params]
+
+
+def test_clone_clusters(spark):
+    found = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 1.0), ("x", "y", 0.85)], "a string, b string, similarity double")
+    got = {tuple(r) for r in clones.clusters(spark, found).collect()}
+    assert got == {("a", 3, 0.95), ("x", 2, 0.85)}
+
+
+def test_boilerplate_goes(spark):
+    grams = spark.createDataFrame([(1, 30, 7), (2, 30, 7), (3, 30, 7), (1, 30, 8), (2, 30, 9), (2, 30, 10)], "id long, tokens long, h long")
+    got = {tuple(r) for r in clones.without_boilerplate(spark, grams, 2, 2).collect()}
+    assert got == {(2, 30, 9), (2, 30, 10)}
 
 
 def test_identifiers(spark):
