@@ -1,9 +1,9 @@
-"""Ranked retrieval: inverted index with BM25, trigram filter, vectors, fusion and reordering."""
+"""Ranked retrieval: inverted index with BM25, trigram filter, vectors and fusion."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Ours: the reference values are not published.
@@ -72,10 +72,3 @@ def fuse(text: DataFrame, vector: DataFrame, alpha: float, k: int = 60) -> DataF
     part = lambda r, w: F.coalesce(F.lit(w) / (k + F.col(r) + 1), F.lit(0.0))
     both = text.select(F.col("id").alias("ti"), F.col("rank").alias("tr")).join(vector.select(F.col("id").alias("vi"), F.col("rank").alias("vr")), F.col("ti") == F.col("vi"), "full_outer")
     return both.select(F.coalesce("ti", "vi").alias("id"), F.round(part("tr", 1 - alpha) + part("vr", alpha), 9).alias("score"))
-
-
-def diversify(rows: DataFrame, group: str, order: list, most: int = 3) -> DataFrame:
-    """Adds `place`: rows beyond the `most` best of their group go behind all others, order kept."""
-    within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    rows = rows.withColumn("late", (within > most).cast("int"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("late", *order))).drop("late")

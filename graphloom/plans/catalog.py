@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import analysis, communities, graph, history, navigation, relational, retrieval  # noqa: F401  they register their queries
+from graphloom.plans import analysis, communities, graph, history, navigation, ranking, relational, retrieval  # noqa: F401  they register their queries
 from graphloom.plans.query import FOUND, SQL
 
 
