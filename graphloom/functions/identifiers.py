@@ -108,3 +108,39 @@ def glob_regex(glob: str) -> str:
             out += {"*": "[^/]*", "?": "[^/]"}.get(glob[at], re.escape(glob[at]))
             at += 1
     return f"^{out}$"
+
+
+# Marks of a test's path.
+TEST_MARKS = ("_test.go", ".test.ts", ".test.js", ".spec.ts", ".spec.js", "__tests__/", "test_")
+
+
+def is_test_path(path: Column) -> Column:
+    out = F.lit(False)
+    for mark in TEST_MARKS:
+        out = out | path.contains(mark)
+    return F.coalesce(out, F.lit(False))
+
+
+def normal_language(name: Column) -> Column:
+    """Lower case without blanks around, short names written out."""
+    low = F.lower(F.trim(name))
+    out = low
+    for short, full in LANGUAGES.items():
+        out = F.when(low == short, full).otherwise(out)
+    return out
+
+
+def moment(text: Column) -> Column:
+    """A timestamp from seconds, whole or not, or from an ISO text with a zone; else null."""
+    seconds = F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.timestamp_seconds(F.floor(text.try_cast("double")).cast("long")))
+    return F.coalesce(seconds, F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T.*(Z|[+-][0-9]{2}:[0-9]{2})$"), F.try_to_timestamp(text)))
+
+
+def token_estimate(nodes: Column) -> Column:
+    """Tokens of an answer with so many nodes: 28 bytes each, three and a half bytes to a token, rounded down."""
+    return F.floor(nodes * 28 * 10 / 35)
+
+
+def owner_of(id_: Column) -> Column:
+    """The symbol that an id of a part of it (`symbol#part`) belongs to; null for a symbol itself."""
+    return F.when(id_.contains("#"), F.substring_index(id_, "#", 1))
