@@ -3,19 +3,52 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.storage import save
+
 #: Ours: the reference values are not published.
 K1, B = 1.2, 0.75
 
 
+#: Folders that a stored index spreads its terms over.
+FOLDERS = 64
+
+
 def postings(docs: DataFrame, id_col: str, tokens) -> DataFrame:
-    """(id, term, tf, len)."""
+    """(id, len, term, tf)."""
     words = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
     return words.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def scan_postings(spark: SparkSession, docs: DataFrame, id_col: str, tokens, terms: list[str]) -> tuple[DataFrame, int, float]:
+    """Postings of a few terms, the number of documents and their mean length, from one pass over the texts.
+
+    For a search without an index: each document gives its length and those of its words that are asked for, stored once.
+    """
+    t = docs.select(F.col(id_col).alias("id"), tokens.alias("t"))
+    seen = save(spark, t.select("id", F.size("t").alias("len"), F.filter("t", lambda w: w.isin(*terms)).alias("has")), "bm25-scan")
+    n, mean = seen.agg(F.count("*"), F.avg("len")).first()
+    return seen.where("size(has) > 0").select("id", "len", F.explode("has").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf")), n, mean
+
+
+def write_index(docs: DataFrame, id_col: str, tokens, path: str) -> None:
+    """Stores postings in folders by a hash of the term, sorted by term, and lengths of documents beside them."""
+    folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
+    post = postings(docs, id_col, tokens).withColumn("folder", folder)
+    post.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str], limit: int) -> DataFrame:
+    """bm25 over a stored index: of its folders only those of the query's terms are read."""
+    n, mean = spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.avg("len")).first()
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
+    folders = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).distinct().collect()]  # one for each term at most
+    return bm25(spark.read.parquet(f"{path}/postings").where(F.col("folder").isin(*folders)), n, mean, terms, limit)
+
+
 def bm25(index: DataFrame, docs: int, mean: float, terms: list[str], limit: int) -> DataFrame:
     """(id, score): the query's terms are pushed down; document frequency comes from the same few rows."""
     some = index.where(F.col("term").isin(*terms))

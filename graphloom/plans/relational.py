@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as ids
+from graphloom.operators import community
 from graphloom.plans.query import query
 from graphloom.sources.fixture import edges, nodes, read
 
@@ -137,17 +138,15 @@ def cross_repo(spark, sf):
     return by.unionByName(t.where("from_repo <> to_repo").groupBy("from_repo", "to_repo").agg(F.sum("weight").cast("long").alias("n")).select("from_repo", "to_repo", F.lit("trade").alias("kind"), "n"))
 
 
-@query("""i AS (SELECT dst AS id, count(DISTINCT src) AS c FROM edges WHERE kind = 'calls' GROUP BY dst), o AS (SELECT src AS id, count(DISTINCT dst) AS c FROM edges WHERE kind = 'calls' GROUP BY src)
-SELECT n.id, CASE WHEN i.c IS NULL AND o.c IS NULL THEN 'dead' WHEN i.c IS NULL THEN 'entry' WHEN o.c IS NULL THEN CASE WHEN i.c >= 3 AND n.end_line - n.start_line + 1 BETWEEN 1 AND 30 THEN 'utility' ELSE 'leaf' END WHEN i.c >= 3 AND o.c <= 2 THEN 'utility' ELSE 'core' END AS role
+@query("""c AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'calls'), g AS (SELECT id, CAST(string_split(id, '/')[2] AS BIGINT) % 3 AS c FROM nodes),
+i AS (SELECT dst AS id, count(*) AS c, bool_or(a.c <> b.c) AS foreign_ FROM c JOIN g a ON a.id = c.src JOIN g b ON b.id = c.dst GROUP BY dst), o AS (SELECT src AS id, count(*) AS c, bool_or(a.c <> b.c) AS foreign_ FROM c JOIN g a ON a.id = c.src JOIN g b ON b.id = c.dst GROUP BY src)
+SELECT n.id, CASE WHEN i.c IS NULL AND o.c IS NULL THEN 'dead' WHEN i.c IS NULL THEN 'entry' WHEN o.c IS NULL THEN 'leaf' WHEN i.foreign_ AND o.foreign_ THEN 'adapter' WHEN i.c >= 3 AND o.c <= 2 AND n.end_line - n.start_line + 1 BETWEEN 1 AND 30 THEN 'utility' ELSE 'core' END AS role
 FROM nodes n LEFT JOIN i ON i.id = n.id LEFT JOIN o ON o.id = n.id WHERE n.kind IN ('function', 'method', 'variable')""", graph=True)
 def role(spark, sf):
-    calls = edges(spark, sf).where("kind = 'calls'").select("src", "dst").distinct()
-    ends = calls.select(F.col("dst").alias("at"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(calls.select(F.col("src").alias("at"), F.lit(0).alias("i"), F.lit(1).alias("o")))
-    by = ends.groupBy("at").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    n = nodes(spark, sf).where(F.col("kind").isin("function", "method", "variable")).join(by, F.col("id") == F.col("at"), "left").fillna(0, ["i", "o"])
-    lines = F.col("end_line") - F.col("start_line") + 1
-    what = F.when((F.col("i") == 0) & (F.col("o") == 0), "dead").when(F.col("i") == 0, "entry").when((F.col("o") == 0) & (F.col("i") >= 3) & lines.between(1, 30), "utility").when(F.col("o") == 0, "leaf").when((F.col("i") >= 3) & (F.col("o") <= 2), "utility").otherwise("core")
-    return n.select("id", what.alias("role"))
+    """Numbers modulo three stand for communities, which SQL has no way to find."""
+    n = nodes(spark, sf)
+    part = n.select("id", (F.split_part("id", F.lit("/"), F.lit(2)).cast("long") % 3).alias("community"))
+    return community.roles(n.where(F.col("kind").isin("function", "method", "variable")), edges(spark, sf), part)
 
 
 @query("""SELECT n.id, n.name FROM nodes n WHERE n.kind IN ('method', 'type', 'function') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.kind IN ('calls', 'references', 'implements'))""", graph=True)

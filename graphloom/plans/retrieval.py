@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from graphloom.functions import identifiers as ids
 from graphloom.operators import clones, search
 from graphloom.plans.query import query
 from graphloom.sources.fixture import edges, nodes, read
-from graphloom.sources.storage import save
+from graphloom.sources.storage import save, shared_dir
 
 WORDS = r"regexp_extract_all(lower(text), '[a-z0-9]+')"
 TERMS = ("the", "edge", "worthless", "license", "and", "token")
@@ -20,14 +22,28 @@ def tokenize(spark, sf):
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(ids.tokens(F.concat_ws(" ", "p_name", F.lower("p_type"))), " ").alias("tokens"))
 
 
-@query(f"""WITH w AS (SELECT doc_id AS id, {WORDS} AS t FROM documents), l AS (SELECT id, len(t) AS len FROM w), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+BM25_SQL = f"""WITH w AS (SELECT doc_id AS id, {WORDS} AS t FROM documents), l AS (SELECT id, len(t) AS len FROM w), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM w) WHERE term IN {TERMS} GROUP BY id, term), d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
-SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM p JOIN d USING (term) JOIN l USING (id), s GROUP BY id ORDER BY score DESC, id LIMIT 50""")
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM p JOIN d USING (term) JOIN l USING (id), s GROUP BY id ORDER BY score DESC, id LIMIT 50"""
+
+
+def _words():
+    return F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+@query(BM25_SQL)
 def bm25(spark, sf):
-    docs = read(spark, sf, "documents")
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    n, mean = docs.select(F.size(tokens).alias("l")).agg(F.count("*"), F.avg("l")).first()
-    return search.bm25(search.postings(docs, "doc_id", tokens), n, mean, list(TERMS), 50)
+    """Without an index, in one pass over the texts."""
+    found, n, mean = search.scan_postings(spark, read(spark, sf, "documents"), "doc_id", _words(), list(TERMS))
+    return search.bm25(found, n, mean, list(TERMS), 50)
+
+
+@query(BM25_SQL)
+def bm25_indexed(spark, sf):
+    """The same from a stored index, made here first."""
+    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-tables/index-{uuid.uuid4().hex[:12]}"
+    search.write_index(read(spark, sf, "documents"), "doc_id", _words(), path)
+    return search.search_index(spark, path, list(TERMS), 50)
 
 
 @query("SELECT doc_id AS id FROM documents WHERE contains(text, 'General Public License')")
