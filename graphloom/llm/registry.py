@@ -9,13 +9,14 @@ from graphloom.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
 from graphloom.llm.html import op2_html_extraction
 from graphloom.llm.language_id import op8_language_id
 from graphloom.llm.line_dedup import OP7_SQL, op7_line_dedup
+from graphloom.llm.minhash_dedup import op12_minhash_dedup
 from graphloom.llm.mixing import op1_mixing
 from graphloom.llm.ngram_join import op4_ngram_join
 from graphloom.llm.periodic_runs import op11_periodic_runs
 from graphloom.llm.sharding import op9_sharding
 from graphloom.llm.topk import OP6_SQL, op6_exact_topk
 
-QUERIES = (op1_mixing, op2_html_extraction, op3_chat_format, op4_ngram_join, op5_byte_bpe, op6_exact_topk, op7_line_dedup, op8_language_id, op9_sharding, op10_exact_dedup, op11_periodic_runs, op13_fill_in_middle)
+QUERIES = (op1_mixing, op2_html_extraction, op3_chat_format, op4_ngram_join, op5_byte_bpe, op6_exact_topk, op7_line_dedup, op8_language_id, op9_sharding, op10_exact_dedup, op11_periodic_runs, op12_minhash_dedup, op13_fill_in_middle)
 
 
 def queries() -> dict:
