@@ -295,10 +295,78 @@ def test_html_still_leaves_out_what_its_own_attributes_name(attributes):
 def test_html_keeps_titles_and_named_paragraphs(head):
     body = "".join(f'<p class="{c}">A paragraph named so, with words, marks, and more of them.</p>' for c in ("social", "tags", "copyright-law", "x"))
     text = " ".join(["Title"] + ["A paragraph named so, with words, marks, and more of them."] * 4)
-    for tag in ("article", "div")[: 1 if head.startswith("<header>") else 2]:
+    for tag in ("article", "div"):
         assert html.extract(f"<body><nav>Menu</nav><{tag}>{head}{body}<p class='copyright'>(c)</p><div class='share'><p>Share it</p></div></{tag}><footer>Legal</footer></body>") == text
 
 
+WRAPPERS = "page has-sidebar|content-with-sidebar|layout sidebar-right|no-sidebar|hentry tag-economy category-news|col header-fixed|wrapper menu-open|single comments-open|article ad-free|share-price-report|related-work|section discussion|form-wrapper|sidebar|comments|siteHeader".split("|")
+PARAGRAPHS = "".join(f"<p>Paragraph {i} of the article, with words, and marks. It goes on, and on.</p>" for i in range(6))
+ARTICLE = " ".join(f"Paragraph {i} of the article, with words, and marks. It goes on, and on." for i in range(6))
+COMMENTS = "".join(f"<p>Comment {i} that somebody wrote, with words. And more, of it, too.</p>" for i in range(14))
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_html_keeps_pages_with_named_wrappers(name):
+    assert html.extract(f'<body><nav>Menu</nav><div class="{name}"><h1>Title</h1>{PARAGRAPHS}</div><footer>x</footer></body>') == f"Title {ARTICLE}"
+    inside = '<div class="comment-list"><p>Nice, I like it.</p><p>Me too.</p></div><div id=sidebar><p>Read also, this.</p></div>'
+    assert html.extract(f'<body><div class=top><a href=x>Home</a> <a href=y>News</a></div><div class="{name}">{PARAGRAPHS}{inside}</div><div class="site-footer">Legal, c.</div></body>') == ARTICLE
+
+
+def test_html_forms_comments_headers_and_inline_marks():
+    assert html.extract(f"<body><form><h1>Title</h1>{PARAGRAPHS}</form></body>") == f"Title {ARTICLE}" and html.extract(f"<body><form>{PARAGRAPHS}</form></body>") == ARTICLE
+    for page in (f'<div class=post>{PARAGRAPHS}</div><div class="comments">{COMMENTS}</div>', f'<div>{PARAGRAPHS}<div id="comments">{COMMENTS}</div></div>', f'<article>{PARAGRAPHS}<section class="comments-area">{COMMENTS}</section></article>'):
+        assert html.extract(f"<body>{page}</body>") == ARTICLE  # comments longer than the article
+    assert html.extract(f"<body><div><header><h1>Title</h1></header>{PARAGRAPHS}</div></body>") == f"Title {ARTICLE}"
+    assert html.extract(f"<body><div id=page><header><h1>Site</h1></header><div id=c>{PARAGRAPHS}</div></div></body>") == ARTICLE
+    assert html.extract("<p>super<wbr>cali fra<img src=x>gil</p>") == "supercali fragil"
+    assert html.extract('<body><div class="ad">Buy this thing.\nNow, please.</div><article><h1>Ah.</h1><p><b>Ah.<br></article></body>') == "Ah. Ah."
+
+
+def plain_top(parts):
+    """The element whose texts' distances from the threshold add up highest, each sum made anew from the definition."""
+    full = [x for x in parts if x[3]]
+    paths = [x[0].path for x in full]
+    ratio = {}
+    for p in set(paths):
+        own = [x for x in full if x[0].path == p]
+        n, size = len(own), sum(x[3] for x in own)
+        ratio[p] = size / n * (1 + sum(len(html.PUNCTUATION.findall(x[2])) for x in own) / n) * (1 - sum(x[4] for x in own) / size)
+    weight = []
+    for x in full:
+        w, e = 1.0, x[0]
+        while e is not None:
+            w, e = w * e.factor, e.up
+        weight.append(w)
+    near = [[(np.exp(-((d / html.SIGMA) ** 2) / 2), i + d) for d in range(-2, 3) if 0 <= i + d < len(full) and weight[i + d] == weight[i]] for i in range(len(full))]
+    smooth = [weight[i] * sum(g * ratio[paths[j]] ** 0.5 for g, j in x) / sum(g for g, _ in x) for i, x in enumerate(near)]
+    mean = sum(s * x[3] for s, x in zip(smooth, full)) / sum(x[3] for x in full)
+    fused = {p: np.mean([s for s, q in zip(smooth, paths) if q == p]) for p in set(paths)}
+    best = {}
+    for x in full:
+        links = sum(y[4] for y in full if y[1] == x[1]) >= html.COVER * sum(y[3] for y in full if y[1] == x[1])
+        gain, e = -mean if links else 0 if x[4] else min(fused[x[0].path], mean) - html.THRESHOLD * mean, x[0]
+        while e is not None:
+            best.setdefault(id(e), [e, 0.0])[1] += gain
+            e = e.up
+    return max(best.values(), key=lambda x: (round(x[1], 9), x[0].depth))[0]
+
+
+def test_html_container_against_the_definition():
+    rng = random.Random(8)
+
+    def piece(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            return "<p>" + " ".join(rng.choice(["word", "more, of it.", "<a href=x>link</a>", "a longer piece of text, with marks."]) for _ in range(rng.randrange(1, 9))) + "</p>"
+        name = rng.choice(["div", "section", 'div class="sidebar"', 'div class="related-work"', "ul", "form", "header"])
+        return f"<{name}>" + "".join(piece(depth + 1) for _ in range(rng.randrange(4))) + f"</{name.split()[0]}>"
+
+    for _ in range(300):
+        parts = html.blocks("<body>" + "".join(piece(0) for _ in range(rng.randrange(1, 6))) + "</body>")
+        top = html.content(parts)[0]
+        assert top is (plain_top(parts) if any(x[3] for x in parts) else None)
+
+
 def test_html_names_do_not_decide(spark):
     """With neutral names for its elements and classes, the text of every page stays."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
