@@ -3,8 +3,8 @@
 A unit is a line, cut further after each of `. ! ?`, with the mark or line break that ends
 it. It is normalised (lower case, white space collapsed) and hashed; digests are grouped over
 all documents, and of equal units the earliest, by document id and then position, stays. A
-run of neighbouring units that all repeat earlier ones is removed if it has MIN_WORDS words
-or more in all: no unit is exempt for its length, it counts with its neighbours. What was
+run of neighbouring units that all repeat earlier ones is removed as one; a caller may ask that
+it have `min_words` words in all, of which a short unit's count with its neighbours'. What was
 removed is kept as spans of the original text, in code points, end exclusive.
 
 Units are made once and stored. Frequent digests are found by Misra-Gries summaries; their
@@ -30,7 +30,8 @@ from graphloom.llm.common import field, table, whole_row
 from graphloom.llm.exact_dedup import COUNTERS, misra_gries
 from graphloom.sources.storage import save
 
-MIN_WORDS = 5
+#: Words that a run of repeats has at least to be removed: every repeat goes.
+MIN_WORDS = 1
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+")
 
 
@@ -129,7 +130,7 @@ WITH d AS (
 ), x AS (
   SELECT doc_id, min(start) AS start, max(stop) AS stop, sum(n_words) AS n_words
   FROM (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM u WHERE place > 1)
-  GROUP BY doc_id, run HAVING sum(n_words) >= 5
+  GROUP BY doc_id, run HAVING sum(n_words) >= 1
 ), s AS (
   SELECT doc_id, count(*) AS n_removed, sum(stop - start) AS cut, sum(n_words) AS n_words, string_agg(CAST(start AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY start) AS spans FROM x GROUP BY doc_id
 )

@@ -388,10 +388,12 @@ def test_line_dedup(spark, edge, empty):
     rows = [(1, f"start\n{line}\nend"), (2, f"{line.upper()}\nother"), (3, f"x\n{line}"), (4, None), (5, f"Own. {line.title()}. No! Own words. Yes."), (6, "no! \n yes. Own"), (7, f"{line}\n"), (7, "two texts of one id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for counters in (1, 1024):  # with a split of frequent digests and without
-        got = {(r["doc_id"], r["text"], str([tuple(s) for s in r["removed_spans"]])) for r in line_dedup.dedup_lines(spark, df, counters=counters).collect()}
+        got = {(r["doc_id"], r["text"], str([tuple(s) for s in r["removed_spans"]])) for r in line_dedup.dedup_lines(spark, df, min_words=5, counters=counters).collect()}
         n = len(line)
         assert got == {(1, rows[0][1], "[]"), (2, "other", f"[(0, {n + 1})]"), (3, "x\n", f"[(2, {2 + n})]"), (4, None, "[]"), (5, rows[4][1], "[]"), (6, rows[5][1], "[]"), (7, "", f"[(0, {n + 1})]"), (7, rows[7][1], "[]")}
-    assert line_dedup.dedup_lines(spark, spark.createDataFrame([(1, "One two three. Four five.\nOwn"), (2, "a\none  two THREE. four five.\n\nb")], "doc_id long, text string")).where("doc_id = 2").first()["text"] == "a\n\n\nb"
+    assert line_dedup.dedup_lines(spark, spark.createDataFrame([(1, "One two three. Four five.\nOwn"), (2, "a\none  two THREE. four five.\n\nb")], "doc_id long, text string"), min_words=5).where("doc_id = 2").first()["text"] == "a\n\n\nb"
+    every = {(r["doc_id"], r["text"]): r["text"] for r in line_dedup.dedup_lines(spark, spark.createDataFrame([(1, "a b\na b\nc"), (2, "x\nA  b\nc. y"), (3, "c\n\nd")], "doc_id long, text string")).collect()}
+    assert set(every.values()) == {"a b\nc", "x\nc. y", "\nd"}  # a unit keeps its mark, so that `c.` isn't `c`; a last line without break ends like one with it
     got = {(r["doc_id"], len(r["text"] or ""), len(r["removed_spans"])) for r in line_dedup.dedup_lines(spark, edge).collect()}
     whole = len(EDGE[4][1])
     assert got == {(1, 0, 0), (2, 0, 0), (3, 4, 0), (None, 4, 0), (5, whole, 0), (6, 0, 1), (7, 7, 0), (8, 300_000, 0)} and line_dedup.dedup_lines(spark, edge).count() == len(EDGE)
