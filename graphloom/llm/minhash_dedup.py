@@ -4,7 +4,7 @@ A document is the set of 64-bit hashes of its word n-grams. Documents link when
 similarity of their sets is at least num/den; classes are the connected components.
 
 1. Signatures: the minima of `hashes` multiply-add hash functions over the set. `rows` of them
-   make a band's key. A byte of each minimum is the signature kept, two bits of each the sketch.
+   make a band's key. A byte of each minimum is the signature kept.
 2. Of documents with equal sets (met by a digest, frequent ones without a shuffle) one
    goes on. A set too small to link with any but an equal one sends no keys.
 3. Buckets are aggregated by key (count, smallest id, sum of hashes of the ids), combined before
@@ -13,9 +13,10 @@ similarity of their sets is at least num/den; classes are the connected componen
 4. A pair passes if its signatures agree as often as linked sets' do but for SIGMAS standard
    deviations, then if its full sets link.
 5. Components come from large-star and small-star. Then only buckets that hold several components are
-   looked at, in rounds: members outside the bucket's largest component are held against all of it
-   by their sketches, in blocks, and each component sends its nearest pairs to step 4. What
-   links merges components. Buckets that held pairs back come again with more, until none does.
+   looked at, in rounds: members outside the bucket's largest component are held against all of it,
+   in blocks, by parity sketches of their sets, whose distance is a lower bound of the sets' difference, so
+   that hardly any pair below the threshold goes on. Each component sends its nearest pairs to step
+   4. What links merges components. Buckets that held pairs back come again with more, until none does.
 
 At the threshold of 0.8 a linked pair shares no band with a probability of 5e-8, at 0.85 of 6e-11, and fails
 the signature test with about 1e-12; no other step loses a pair, however large its bucket.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import stars
 from graphloom.llm.common import give_back, table
-from graphloom.llm.ngram_join import BASE, FURTHER, HELD, REACH, Join, both_ends, by_groups, equal_sets, mix, nearest, numbered, picked, runs, sets_of, verified
+from graphloom.llm.ngram_join import BASE, FURTHER, HELD, REACH, Join, both_ends, by_groups, equal_sets, flat_sketches, marked, mix, nearest, numbered, picked, runs, sets_of, verified
 from graphloom.sources.storage import reclaim, save
 
 #: Shingles hashed together.
@@ -64,9 +65,10 @@ class Near:
     def join(self) -> Join:
         return Join(self.words, self.num, self.den)
 
-    def passing(self, bits: int) -> int:
-        """Of minima kept by so many bits, how many agree at least."""
-        agree = self.num / self.den + (1 - self.num / self.den) / 2**bits
+    @property
+    def passing(self) -> int:
+        """How many bytes of two signatures agree at least."""
+        agree = self.num / self.den + (1 - self.num / self.den) / 256
         return math.floor(self.hashes * agree - SIGMAS * math.sqrt(self.hashes * agree * (1 - agree)))
 
     def alone(self, n: int) -> bool:
@@ -108,26 +110,25 @@ def keys_of(least: np.ndarray, near: Near) -> np.ndarray:
 
 
 def scan(docs: DataFrame, near: Near) -> DataFrame:
-    """(id, n, digest, signature, sketch, keys) of each row of docs(id, text); the last three are null for sets without keys."""
-    names = ["id", "n", "digest", "signature", "sketch", "keys"]
+    """(id, n, digest, signature, keys) of each row of docs(id, text); the last two are null for sets without keys."""
+    names = ["id", "n", "digest", "signature", "keys"]
 
     def run(batches):
         for part in runs(batches):
             sets = sets_of(part.column(1).to_pylist(), near.join)
             ns = [len(s) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            signed, sketched, keyed = ([None] * len(sets) for _ in range(3))
+            signed, keyed = [None] * len(sets), [None] * len(sets)
             send = [i for i, n in enumerate(ns) if not near.alone(n)]
             if send:
                 least = minima([sets[i] for i in send], near)
                 bytes_ = (least >> np.uint64(8)).astype(np.uint8)
-                planes = np.concatenate([np.packbits(bytes_ >> b & 1, axis=1) for b in (0, 1)], axis=1)
-                for i, a, b, c in zip(send, bytes_, planes, keys_of(least, near)):
-                    signed[i], sketched[i], keyed[i] = a.tobytes(), b.tobytes(), c
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary()), pa.array(sketched, pa.binary()), pa.array(keyed, pa.list_(pa.int64()))], names)
+                for i, a, b in zip(send, bytes_, keys_of(least, near)):
+                    signed[i], keyed[i] = a.tobytes(), b
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary()), pa.array(keyed, pa.list_(pa.int64()))], names)
         give_back()
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, digest binary, signature binary, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, digest binary, signature binary, keys array<long>")
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
@@ -138,21 +139,9 @@ def buckets(keyed: DataFrame) -> DataFrame:
     return full.groupBy("m", "center", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("bands")).select("key", "center", "bands")
 
 
-def grams(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
-    """(id, grams): the full sets of the documents in ids(of)."""
-    kept = docs.join(ids, F.col("id") == F.col("of"), "left_semi")
-
-    def run(batches):
-        for part in runs(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part.column(1).to_pylist(), near.join)], pa.binary())], ["id", "grams"])
-        give_back()
-
-    return kept.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, grams binary")
-
-
 def agreeing(pairs: DataFrame, signatures: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link."""
-    most = near.passing(8)
+    most = near.passing
 
     def test(n: int, a: bytes, m: int, b: bytes) -> bool:
         return min(n, m) * near.den >= max(n, m) * near.num and int((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).sum()) >= most
@@ -161,15 +150,15 @@ def agreeing(pairs: DataFrame, signatures: DataFrame, near: Near) -> DataFrame:
     return picked(full, dict(pairs.dtypes)["a"], test)
 
 
-def linking(spark: SparkSession, pairs: DataFrame, signatures: DataFrame, full: DataFrame, near: Near) -> DataFrame:
+def linking(spark: SparkSession, pairs: DataFrame, signatures: DataFrame, marks: DataFrame, near: Near) -> DataFrame:
     """The linked ones of pairs(a, b), stored."""
     passed = save(spark, agreeing(pairs, signatures, near), "minhash-passed")
-    links = save(spark, verified(passed, full, near.join).distinct(), "minhash-links")
+    links = save(spark, verified(passed, marks, near.join).distinct(), "minhash-links")
     reclaim(spark, passed)
     return links
 
 
-def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, near: Near, reach: int) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, join: Join, reach: int) -> DataFrame:
     """(a, b, key, more): near pairs of different components in the buckets of members(key, id) that hold several.
 
     From each block come the nearest `reach` of each component, ties to smaller ids; more says that it held others back.
@@ -181,27 +170,25 @@ def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, near: Nea
     blocks = F.ceil((F.col("m") - F.col("top.k")) / PART)
     mixed = mixed.select(F.col("key").alias("at"), F.col("top.c").alias("largest"), F.ceil(F.col("m") / PART).alias("parts"), blocks.alias("blocks"))
     rows = rows.join(mixed, F.col("key") == F.col("at")).join(sketches.withColumnRenamed("id", "of"), F.col("id") == F.col("of"))
-    place, kept = F.xxhash64("id"), ["key", "id", "c", "n", "sketch"]
+    place, kept = F.xxhash64("id"), ["key", "band", "id", "c", "n", "bits"]
     outer = rows.where("c <> largest").withColumns({"outer": F.lit(True), "block": F.pmod(place, "blocks"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))})
     whole = rows.withColumns({"outer": F.lit(False), "part": F.pmod(place, "parts"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
-    most = near.hashes - near.passing(2)
 
     def compared(group: pa.Table):
         n, outer = group.column("n").to_numpy(), np.asarray(group.column("outer").to_pylist(), bool)
         (ids, at), (_, c) = numbered(group.column("id")), numbered(group.column("c"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(at), 2, -1)
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint32).reshape(len(at), -1)
         us, them = np.flatnonzero(outer), np.flatnonzero(~outer)
         mine = np.zeros(len(ids), bool)
         mine[at[us]] = True
         held, size, more = [], 0, False
-        step = max(1, (1 << 20) // max(1, bits[0].size * len(them)))
+        step = max(1, (1 << 21) // max(1, bits.shape[1] * len(them)))
         for start in range(0, len(us), step):
             some = us[start : start + step]
-            differ = bits[some, None] ^ bits[None, them]
-            far = np.bitwise_count(differ[:, :, 0] | differ[:, :, 1]).sum(axis=2, dtype=np.int64)
-            i, j = np.nonzero((far <= most) & (c[some, None] != c[None, them]))
+            far = np.bitwise_count(bits[some, None] ^ bits[None, them]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero((far <= join.difference(n[some, None], n[None, them])) & (c[some, None] != c[None, them]))
             far, i, j = far[i, j], some[i], them[j]
-            use = (np.minimum(n[i], n[j]) * near.den >= np.maximum(n[i], n[j]) * near.num) & ~(mine[at[j]] & (at[j] < at[i]))  # two of this block come once
+            use = ~(mine[at[j]] & (at[j] < at[i]))  # two of this block come once
             far, i, j = far[use], i[use], j[use]
             turn = at[i] > at[j]
             i, j = np.where(turn, j, i), np.where(turn, i, j)
@@ -217,7 +204,7 @@ def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, near: Nea
             yield pa.RecordBatch.from_arrays([pa.array(ids[found[1]], of), pa.array(ids[found[2]], of), pa.array(np.full(found.shape[1], group.column("key")[0].as_py())), pa.array(np.full(found.shape[1], more))], ["a", "b", "key", "more"])
 
     both = outer.select("block", "part", "outer", *kept).unionByName(whole.select("block", "part", "outer", *kept))
-    groups = ["key", "block", "part"]
+    groups = ["key", "band", "block", "part"]
     return both.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(by_groups(groups, compared), f"a {kind}, b {kind}, key long, more boolean")
 
 
@@ -244,18 +231,17 @@ def components(spark: SparkSession, docs: DataFrame, near: Near = Near(), id_col
     shared = save(spark, buckets(keyed), "minhash-buckets")
     members = save(spark, keyed.join(shared, "key").select("key", "id", "center", "bands").distinct(), "minhash-members")
     ids = save(spark, members.select(F.col("id").alias("of")).distinct(), "minhash-ids")  # its size is known, so that a small one spares the texts a shuffle
-    full = save(spark, grams(narrow, ids, near), "minhash-sets")
-    marks = save(spark, one.select("id", "n", "signature", "sketch").join(ids, F.col("id") == F.col("of"), "left_semi").distinct(), "minhash-marks")
+    marks = save(spark, marked(narrow, ids, near.join), "minhash-marks")
+    signatures = save(spark, one.select("id", "n", "signature").join(ids, F.col("id") == F.col("of"), "left_semi").distinct(), "minhash-signatures")
     reclaim(spark, shared, ids, one)
-    signatures, sketches = marks.select("id", "n", "signature"), marks.select("id", "n", "sketch")
     most = members.where("id <> center").groupBy("id", "center").agg(F.sum("bands").alias("bands")).groupBy("id").agg(F.max(F.struct("bands", "center")).alias("s"))
-    links = linking(spark, most.select(F.col("s.center").alias("a"), F.col("id").alias("b")), signatures, full, near)
+    links = linking(spark, most.select(F.col("s.center").alias("a"), F.col("id").alias("b")), signatures, marks, near)
     labels = stars.components(spark, links.unionByName(equal))
     reclaim(spark, links)
     left, reach = members.select("key", "id"), REACH
     while True:
-        pairs = save(spark, across(left, labels, sketches, near, reach), "minhash-near")
-        links = linking(spark, pairs.select("a", "b").distinct(), signatures, full, near)
+        pairs = save(spark, across(left, labels, flat_sketches(marks, "fine"), near.join, reach), "minhash-near")
+        links = linking(spark, pairs.select("a", "b").distinct(), signatures, marks, near)
         if links.limit(1).count():
             old, labels = labels, merged(spark, labels, links)
             reclaim(spark, old)
