@@ -44,17 +44,18 @@ def bfs(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, dir
 
 
 def ancestors(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, depth, path) of all that simple ways of `depth` edges at most lead to from each seed."""
+    """(seed, id, depth, path) of all that lies within `depth` edges of each seed, each once: of its shortest ways the first by its ids."""
     steps = save(spark, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "steps")
-    at = seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("way"))
+    at = seen = save(spark, seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("way")).distinct(), "ways")
     found = None
     for level in range(1, depth + 1):
-        met = at.join(steps, F.col("id") == F.col("a")).where(~F.array_contains("way", F.col("b")))
-        at = save(spark, met.select("seed", F.col("b").alias("id"), F.concat("way", F.array("b")).alias("way")), "ways")
+        met = at.join(steps, F.col("id") == F.col("a")).groupBy("seed", F.col("b").alias("id")).agg(F.min(F.concat("way", F.array("b"))).alias("way"))
+        at = save(spark, met.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "ways")
         here = at.select("seed", "id", F.lit(level).alias("depth"), F.array_join("way", " > ").alias("path"))
         found = here if found is None else found.unionByName(here)
         if not at.limit(1).count():
             break
+        seen = seen.unionByName(at)
     return found
 
 

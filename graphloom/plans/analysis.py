@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as ids
-from graphloom.operators import centrality, traverse
+from graphloom.operators import centrality, dataflow, traverse
 from graphloom.plans.query import query
 from graphloom.plans.relational import RANK_SQL
 from graphloom.sources.fixture import edges, nodes, read, trade
@@ -140,16 +140,13 @@ def cycles(spark, sf):
     return by.select("component", "size", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"), F.when(F.col("r") > 1, 2).otherwise(1).alias("severity"))
 
 
-@query("""d1 AS (SELECT DISTINCT dst AS id, src AS a FROM edges WHERE kind IN ('calls', 'references') AND dst LIKE 'supplier/%'), d2 AS (SELECT DISTINCT d1.id, e.src AS a FROM d1 JOIN edges e ON e.dst = d1.a AND e.kind IN ('calls', 'references')), c AS (SELECT id, (SELECT count(*) FROM d1 x WHERE x.id = y.id) AS direct, (SELECT count(*) FROM d2 x WHERE x.id = y.id) AS indirect FROM (SELECT DISTINCT id FROM d1) y)
-SELECT id, direct, indirect, CASE WHEN direct >= 50 OR indirect >= 500 THEN 'CRITICAL' WHEN direct >= 20 THEN 'HIGH' WHEN direct >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c""", graph=True)
+@query("""f AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('calls', 'references')), d1 AS (SELECT dst AS id, src AS a FROM f WHERE dst LIKE 'supplier/%'), d2 AS (SELECT DISTINCT d1.id, f.src AS a FROM d1 JOIN f ON f.dst = d1.a), d3 AS (SELECT DISTINCT d2.id, f.src AS a FROM d2 JOIN f ON f.dst = d2.a),
+c AS (SELECT id, count(*) FILTER (WHERE d = 1) AS direct, count(*) FILTER (WHERE d = 2) AS second, count(*) FILTER (WHERE d = 3) AS third, count(*) AS total FROM (SELECT id, 1 AS d FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3) GROUP BY id)
+SELECT n.id, coalesce(direct, 0) AS direct, coalesce(second, 0) AS second, coalesce(third, 0) AS third, coalesce(total, 0) AS total, CASE WHEN direct >= 10 THEN 'CRITICAL' WHEN direct >= 5 THEN 'HIGH' WHEN direct >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM nodes n LEFT JOIN c ON c.id = n.id WHERE n.kind = 'type'""", graph=True)
 def impact(spark, sf):
-    """How many depend on each supplier directly and at one remove, and the risk of a change."""
-    e = edges(spark, sf).where(F.col("kind").isin("calls", "references")).select("src", "dst").distinct()
-    near = e.where("dst like 'supplier/%'").select(F.col("dst").alias("id"), F.col("src").alias("a"))
-    far = near.join(e.select(F.col("dst").alias("a"), F.col("src").alias("b")), "a").select("id", "b").distinct().groupBy("id").agg(F.count("*").alias("indirect"))
-    by = near.groupBy("id").agg(F.count("*").alias("direct")).join(far, "id", "left").fillna(0, ["indirect"])
-    risk = F.when((F.col("direct") >= 50) | (F.col("indirect") >= 500), "CRITICAL").when(F.col("direct") >= 20, "HIGH").when(F.col("direct") >= 5, "MEDIUM").otherwise("LOW")
-    return by.select("id", "direct", "indirect", risk.alias("risk"))
+    """How many depend on each supplier, by distance, and the risk of a change."""
+    e = edges(spark, sf).where(F.col("kind").isin("calls", "references"))
+    return dataflow.impact(spark, e, nodes(spark, sf).where("kind = 'type'"))
 
 
 @query("""WITH e AS (SELECT CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS tool, 'm' || (user_id % 3) AS model, CAST(ts AS DATE) AS day, value FROM events), g AS (SELECT coalesce(nullif(tool, ''), '(unknown)') AS tool, model, day, value FROM e)
