@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as ids
-from graphloom.operators import clones, search
+from graphloom.operators import clones, ranges, search, textsearch
 from graphloom.plans.query import query
 from graphloom.sources.fixture import edges, nodes, read
 from graphloom.sources.storage import save, shared_dir
@@ -51,6 +51,27 @@ def trigram_search(spark, sf):
     return search.trigram_search(read(spark, sf, "documents"), "doc_id", "text", "General Public License")
 
 
+#: An expression that both engines read alike.
+LICENCES = "(?i)(released|licensed) under the (mit|apache|gnu).*licen[sc]e"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS line FROM d)
+SELECT doc_id, line, text, 'doc/' || doc_id || '#' || (line - 1) // 10 AS symbol FROM l WHERE regexp_matches(text, '{LICENCES}')""")
+def regexp_search(spark, sf):
+    """Lines that match, through stored postings, each with the block of ten lines around it."""
+    docs = read(spark, sf, "documents")
+    index = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex[:12]}"
+    textsearch.add(spark, index, docs, "doc_id")
+    found = textsearch.search(spark, index, docs, LICENCES, "doc_id")
+    lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n")).join(found.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    blocks = lines.select(path.alias("path"), "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 10))).alias("k"))
+    symbols = blocks.select("path", F.concat_ws("#", "path", F.col("k").cast("string")).alias("id"), (F.col("k") * 10 + 1).alias("start"), F.least(F.col("k") * 10 + 10, "n").alias("stop"))
+    whole = lines.select(path.alias("path"), path.alias("id"), F.lit(1).cast("long").alias("start"), (F.col("n") + 1).cast("long").alias("stop"))
+    hits = found.select(F.col("id").alias("doc_id"), "line", "text", F.concat(F.lit("doc/"), F.col("id").cast("string")).alias("path"))
+    return ranges.innermost(symbols.unionByName(whole), hits).select("doc_id", "line", "text", "symbol")
+
+
 @query("""WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(qe, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score
 FROM embeddings, q WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 20""")
