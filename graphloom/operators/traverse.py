@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import save
+from graphloom.sources.storage import reclaim, save
 
 KINDS = (  # fixed values: edge kinds that walks accept
     "imports defines calls instantiates implements extends references member_of provides consumes matches annotated tests reads writes throws returns typed_as "
@@ -126,3 +126,51 @@ def graph_query(spark: SparkSession, nodes: DataFrame, edges: DataFrame, text: s
             raise ValueError(f"unknown stage {verb}")
         current = save(spark, current, "graph-query")
     return current
+
+
+#: Edges that a closure follows unless told otherwise, bytes that a walked node is worth, bytes in ten tokens.
+NEEDS, NODE_BYTES, TEN_TOKENS = ("imports", "calls", "references", "depends_on"), 28, 35
+
+
+def nodes_for(tokens: int) -> int:
+    """How many nodes of a walk fit in a number of tokens; their sum is rounded down once."""
+    return ((tokens + 1) * TEN_TOKENS - 1) // (NODE_BYTES * 10)
+
+
+def nearest(
+    spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 6, most: int = 400, kinds: tuple | None = NEEDS, direction: str = "out", part: DataFrame | None = None, community: str | None = None
+) -> tuple[DataFrame, DataFrame, dict]:
+    """((id, distance), (src, dst, kind) met on the way, statistics): the `most` nodes nearest to any seed, ties by id.
+
+    Seeds count whatever their number. What isn't in `nodes` (give those in scope) or isn't resolved is not
+    entered, nor, with `part` (id, community), what is known to be of another community. Edges are those out of each node that is
+    expanded, once each, also to nodes met before or beyond the cap. A level asks for no more nodes than are left, so the walk holds `most` rows.
+    """
+    inside = nodes.select("id").where("not (id like 'unresolved::%' or id like 'external::%')")
+    steps = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+    out = steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "kind")
+    back = steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), "src", "dst", "kind")
+    steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction].join(inside.withColumnRenamed("id", "b"), "b", "left_semi")
+    if part is not None and community is not None:
+        steps = steps.join(part.where(F.col("community") != community).select(F.col("id").alias("b")), "b", "left_anti")
+    steps = save(spark, steps.distinct(), "steps")
+    seen = at = save(spark, inside.join(seeds.select("id").distinct(), "id", "left_semi").select("id", F.lit(0).alias("distance")), "nearest")
+    stats, met = {"nodes": at.count(), "truncated": False, "depth": 0}, None
+    for level in range(1, depth + 1):
+        links = save(spark, steps.join(at.select(F.col("id").alias("a")), "a"), "nearest-edges")
+        met = links if met is None else met.unionByName(links)
+        new = links.select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        room = max(most - stats["nodes"], 0)
+        found = new.orderBy("id").limit(room + 1).select("id", F.lit(level).alias("distance"))
+        found = save(spark, found, "nearest")
+        n = found.count()
+        stats["truncated"] |= n > room
+        at = found.orderBy("id").limit(room) if n > room else found
+        n = min(n, room)
+        if not n:
+            break
+        stats["nodes"], stats["depth"] = stats["nodes"] + n, level
+        seen = seen.unionByName(at)
+    edges_met = spark.createDataFrame([], "src string, dst string, kind string") if met is None else met.select("src", "dst", "kind").distinct()
+    reclaim(spark, steps)
+    return seen, edges_met, stats
