@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as ids
+from graphloom.operators import clone_index as clone_store
 from graphloom.operators import clones, ranges, search, textsearch
 from graphloom.plans.query import query
 from graphloom.sources.fixture import edges, nodes, read
@@ -161,6 +162,29 @@ def clone_clusters(spark, sf):
     return found.select("cluster", "size", F.round("similarity", 6).alias("similarity")).orderBy(F.col("size").desc(), "cluster")
 
 
+@query(rf"""WITH held AS (SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN text || ' if' ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'fr' UNION ALL SELECT -1 - item_id, text FROM benchmark),
+w AS (SELECT id, list_transform(regexp_extract_all(text, '(?s)(?:{LEX})'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z_$\x{{80}}-\x{{10FFFF}}]') THEN CASE WHEN lower(t) IN ({KEPT}) THEN lower(t) ELSE 'v' END WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN t[1] IN ('"', '`', chr(39)) THEN 's' ELSE t END) AS t FROM held),
+g AS (SELECT DISTINCT id, len(t) AS tokens, hex(t[i]) || '00' || hex(t[i + 1]) || '00' || hex(t[i + 2]) || '00' AS x FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM w WHERE len(t) >= {clones.LEAST_TOKENS})),
+f AS (SELECT x, list_reduce(list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) % {clones.PRIME} AS h FROM (SELECT DISTINCT x FROM g)),
+p(i, a, b) AS (VALUES {PARAMS}), slots AS (SELECT id, tokens, i, min((a * h + b) % {clones.PRIME})::BIGINT AS s FROM g JOIN f USING (x), p GROUP BY ALL),
+m AS (SELECT id, tokens, list(s ORDER BY i) AS sig FROM slots GROUP BY ALL), c AS (SELECT sig, tokens, min(id) AS rep FROM m GROUP BY ALL),
+k AS (SELECT rep, sig, z, j, list_slice(sig, 4 * j + 1, 4 * j + 4) AS key FROM c, (VALUES {", ".join(f"({z}, {low}, {high})" for z, (low, high) in enumerate(clones.CLASSES))}) v(z, low, high), range(0, {clones.BANDS}) r(j) WHERE tokens >= low AND tokens < high),
+met AS (SELECT DISTINCT x.rep AS a, y.rep AS b, x.sig AS sa, y.sig AS sb FROM k x JOIN k y USING (z, j, key) WHERE x.rep < y.rep),
+near AS (SELECT a, b, len(list_filter(list_zip(sa, sb), lambda q: q[1] = q[2])) / {clones.SLOTS}::DOUBLE AS similarity FROM met)
+SELECT a, b, similarity FROM near WHERE similarity >= {clones.LEAST_SIMILARITY} UNION ALL SELECT c.rep, m.id, 1.0::DOUBLE FROM m JOIN c USING (sig, tokens) WHERE m.id <> c.rep""")
+def clone_index(spark, sf):
+    """Pairs of an index after all documents, then the benchmark's passages and an edit of what three sources gave, then without French."""
+    index = f"{shared_dir(spark)}/clone-index-{uuid.uuid4().hex[:12]}"
+    docs, asked = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    row = lambda df, id_, text: df.select(id_.alias("id"), F.lit(1).alias("seq"), text.alias("text"))
+    same, gone = F.col("text"), F.lit(None).cast("string")
+    clone_store.apply(spark, index, row(docs, F.col("doc_id"), same))
+    edits = row(docs.where("source in ('src1', 'src2', 'src3')"), F.col("doc_id"), F.concat("text", F.lit(" if")))
+    clone_store.apply(spark, index, row(asked, -1 - F.col("item_id"), same).unionByName(edits))
+    clone_store.apply(spark, index, row(docs.where("lang = 'fr'"), F.col("doc_id"), gone))
+    return clone_store.pairs(spark, index)
+
+
 @query()
 def clone_boilerplate(spark, sf):
     """Lengths and sizes of what remains of each passage without shingles that more than three in ten share."""
