@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import analysis, communities, dataflow, graph, history, navigation, ranking, relational, retrieval, rules  # noqa: F401  they register their queries
+from graphloom.plans import analysis, communities, dataflow, graph, history, navigation, ranking, relational, resolution, retrieval, rules  # noqa: F401  they register their queries
 from graphloom.plans.query import FOUND, SQL
 
 
