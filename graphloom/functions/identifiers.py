@@ -22,6 +22,17 @@ def stub_kind(target: Column) -> Column:
     return F.regexp_extract(target, rf"^(?:[^:]+::)?({'|'.join(STUB_KINDS)})::", 1)
 
 
+def stub_rest(target: Column) -> Column:
+    """What follows the kind in the id of a stub; an empty text for other targets."""
+    return F.regexp_extract(target, rf"^(?:[^:]+::)?(?:{'|'.join(STUB_KINDS)})::(?s:(.*))$", 1)
+
+
+def stub_id(kind: str, *parts: Column, repo: Column | None = None) -> Column:
+    """The id of a stub from its parts, behind the repository where one is given and not empty."""
+    own = F.concat_ws("::", F.lit(kind), *parts)
+    return own if repo is None else F.when(F.coalesce(repo, F.lit("")) == "", own).otherwise(F.concat_ws("::", repo, own))
+
+
 def dropped_target(target: Column) -> Column:
     """Why a walk can't go on at a target; an empty text where it can."""
     return F.when(is_unresolved(target), "dynamic_dispatch").when(target.startswith("external::"), "external_boundary").when(stub_kind(target) != "", "stub").otherwise("")

@@ -241,9 +241,16 @@ def route_normalisation(spark, sf):
     return read(spark, sf, "pages").select("page_id", path.alias("path"), ids.route(F.col("url")).alias("route"))
 
 
-@query(r"""t AS (SELECT s AS target FROM (VALUES ('unresolved::Foo'), ('repo::unresolved::Bar'), ('external::lib'), ('repo::stdlib::fmt'), ('builtin::len'), ('a/b::Baz')) v(s))
-SELECT target, CASE WHEN starts_with(target, 'unresolved::') OR contains(target, '::unresolved::') THEN 'dynamic_dispatch' WHEN starts_with(target, 'external::') THEN 'external_boundary' WHEN regexp_matches(target, '^([^:]+::)?(stdlib|external_call|builtin|module)::') THEN 'stub' ELSE '' END AS reason FROM t""", graph=True)
+TARGETS_SQL = "CASE WHEN kind = 'references' THEN 'repo::unresolved::' || dst WHEN kind = 'member_of' THEN 'builtin::' || dst WHEN origin = 'text_matched' THEN 'unresolved::' || dst WHEN origin = 'ast_inferred' THEN 'external::' || dst WHEN origin = 'lsp_resolved' THEN 'repo::stdlib::' || dst ELSE dst END"
+
+
+@query(rf"""t AS (SELECT {TARGETS_SQL} AS target, kind FROM edges),
+r AS (SELECT *, regexp_extract(target, '^([^:]+::)?(stdlib|external_call|builtin|module)::', 2) AS stub FROM t)
+SELECT kind, CASE WHEN starts_with(target, 'unresolved::') OR contains(target, '::unresolved::') THEN 'dynamic_dispatch' WHEN starts_with(target, 'external::') THEN 'external_boundary' WHEN stub <> '' THEN 'stub' ELSE '' END AS reason, stub, count(*) AS edges, count(DISTINCT CASE WHEN stub <> '' THEN regexp_replace(target, '^([^:]+::)?(stdlib|external_call|builtin|module)::', '') ELSE '' END) AS rests FROM r GROUP BY 1, 2, 3""", graph=True)
 def dropped_targets(spark, sf):
-    names = ["unresolved::Foo", "repo::unresolved::Bar", "external::lib", "repo::stdlib::fmt", "builtin::len", "a/b::Baz"]
-    t = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("target"))
-    return t.select("target", ids.dropped_target(F.col("target")).alias("reason"))
+    """Why a walk can't go on at the targets of edges, named by kind and tier, with kinds and tails of stubs."""
+    at = lambda start: F.concat(F.lit(start), F.col("dst"))
+    target = F.when(F.col("kind") == "references", at("repo::unresolved::")).when(F.col("kind") == "member_of", at("builtin::")).when(F.col("origin") == "text_matched", at("unresolved::")).when(F.col("origin") == "ast_inferred", at("external::"))
+    t = edges(spark, sf).select("kind", target.when(F.col("origin") == "lsp_resolved", at("repo::stdlib::")).otherwise(F.col("dst")).alias("target"))
+    by = t.groupBy("kind", ids.dropped_target(F.col("target")).alias("reason"), ids.stub_kind(F.col("target")).alias("stub"))
+    return by.agg(F.count("*").alias("edges"), F.count_distinct(ids.stub_rest(F.col("target"))).alias("rests"))
