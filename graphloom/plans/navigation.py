@@ -85,14 +85,14 @@ def expand_frontier(spark, sf):
     return met.join(n.select("id"), "id", "left_semi").orderBy("id").limit(100)
 
 
-@query(BFS_SQL.format(a="src", b="dst", where="", seed="id = 'customer/2'", depth=4) + """, r AS (SELECT id, depth, row_number() OVER (ORDER BY depth, id) AS n FROM m)
-SELECT id, depth, n * 28 * 10 // 35 AS tokens FROM r WHERE n * 28 * 10 // 35 <= 400""", graph=True)
+@query(BFS_SQL.format(a="src", b="dst", where="", seed="id = 'customer/2'", depth=4) + """, r AS (SELECT m.id, depth, sum((length(m.id) + length(n.name) + 28) * 10 // 35) OVER (ORDER BY depth, m.id) AS tokens FROM m JOIN nodes n ON n.id = m.id)
+SELECT id, depth, CAST(tokens AS BIGINT) AS tokens FROM r WHERE tokens <= 400""", graph=True)
 def walk_budgeted(spark, sf):
-    """A walk that ends where the estimate of what it shows passes 400 tokens; a node costs 28 bytes."""
-    n = nodes(spark, sf)
-    met, _, _ = traverse.nearest(spark, n, edges(spark, sf), n.where("id = 'customer/2'"), 4, traverse.nodes_for(400), None)
-    place = F.row_number().over(Window.orderBy("distance", "id")).cast("long")
-    return met.select("id", F.col("distance").alias("depth"), (place * 28 * 10 / 35).cast("long").alias("tokens"))
+    """A walk that ends where the estimate of what it shows passes 400 tokens; a node costs 28 bytes beside its names."""
+    n = nodes(spark, sf).select("id", "name")
+    met = traverse.bfs(spark, edges(spark, sf), n.where("id = 'customer/2'"), 4, nodes=n).join(n, "id")
+    cost = F.expr("(length(id) + length(name) + 28) * 10 div 35")
+    return met.select("id", "depth", F.sum(cost).over(Window.orderBy("depth", "id")).alias("tokens")).where("tokens <= 400")
 
 
 @query(BFS_SQL.format(a="src", b="dst", where="WHERE kind IN ('calls', 'references') AND dst NOT LIKE 'part/%7'", seed="id LIKE 'customer/1_'", depth=6) + """, r AS (SELECT id, depth FROM m ORDER BY depth, id LIMIT 400), e AS (SELECT s.a AS id, count(*) AS links FROM s JOIN r ON r.id = s.a WHERE r.depth < 6 GROUP BY 1)
