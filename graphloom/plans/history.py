@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as ids
+from graphloom.operators import ranges
 from graphloom.plans.query import query
 from graphloom.sources.fixture import edges, nodes, read
 
@@ -102,10 +103,10 @@ def reviewer_ranking(spark, sf):
 
 @query("""SELECT n.id, count(*) AS hunks FROM nodes n JOIN (SELECT p_partkey * 10 + 3 AS line, 'parts/' || p_brand AS path FROM part) h ON h.path = n.file_path AND h.line BETWEEN n.start_line AND n.end_line WHERE n.kind = 'method' GROUP BY n.id""", graph=True)
 def range_grounding(spark, sf):
-    """Lines of changes to the symbols around them: an equal path, then the range."""
+    """Lines of changes to the symbols around them: an equal path and bin, then the range."""
     h = read(spark, sf, "part").select((F.col("p_partkey") * 10 + 3).alias("line"), F.concat(F.lit("parts/"), F.col("p_brand")).alias("path"))
-    n = nodes(spark, sf).where("kind = 'method'")
-    return n.join(h, (F.col("path") == F.col("file_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("id").agg(F.count("*").alias("hunks"))
+    n = nodes(spark, sf).where("kind = 'method'").select(F.col("file_path").alias("path"), "id", F.col("start_line").alias("start"), F.col("end_line").alias("stop"))
+    return ranges.around(n, h.groupBy("path", "line").agg(F.count("*").alias("n"))).groupBy("id").agg(F.sum("n").alias("hunks"))
 
 
 @query("""WITH g AS (SELECT event_type, count(*) FILTER (WHERE value >= 50) AS sends, count(*) FILTER (WHERE value < 50) AS receives FROM events GROUP BY event_type) SELECT event_type AS channel, sends, receives, CASE WHEN sends = 0 THEN 'skip' WHEN sends >= 2 AND receives > 0 THEN 'high' WHEN receives > 0 THEN 'medium' ELSE 'low' END AS risk FROM g""")
