@@ -29,7 +29,7 @@ def bfs(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, dir
     steps = directed(edges if kinds is None else edges.where(F.col("kind").isin(*kinds)), direction)
     if nodes is not None:
         steps = steps.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    steps = save(spark, steps.distinct(), "steps") if depth > 1 else steps  # built once, read at each level
+    steps = save(spark, steps, "steps") if depth > 1 else steps  # built once, read at each level; a step met twice finds its node once
     start = seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"))
     seen = frontier = save(spark, start, "bfs")
     first = Window.partitionBy("id").orderBy("parent", "kind")

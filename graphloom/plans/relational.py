@@ -45,7 +45,7 @@ def node_upsert(spark, sf):
 def edge_insert_ignore(spark, sf):
     key = ["src", "dst", "kind", "line"]
     e = edges(spark, sf).select(*key)
-    return e.unionByName(e.where("kind = 'calls'")).dropDuplicates(key).groupBy("src", "dst", "kind").agg(F.count("*").alias("sites")).where("sites > 1")
+    return e.unionByName(e.where("kind = 'calls'")).repartition("src", "dst", "kind").dropDuplicates(key).groupBy("src", "dst", "kind").agg(F.count("*").alias("sites")).where("sites > 1")
 
 
 @query("""SELECT id, name FROM nodes WHERE repo_prefix IN ('EUROPE', 'ASIA') AND lower(language) = 'building' AND contains(lower(file_path), 'customer')""", graph=True)
@@ -186,8 +186,8 @@ def surprising_connections(spark, sf):
 SELECT c.id, lines, callers, fan_out, round(ln(1 + lines) * ln(1 + callers) * ln(1 + fan_out), 6) AS score FROM c JOIN o ON o.id = c.id WHERE lines >= 20 AND callers >= 2 AND fan_out >= 5""", graph=True)
 def extraction_candidates(spark, sf):
     e = edges(spark, sf)
-    callers = e.where("kind = 'calls'").groupBy(F.col("dst").alias("at")).agg(F.count_distinct("src").alias("callers"))
-    out = e.groupBy(F.col("src").alias("of")).agg(F.count_distinct("dst").alias("fan_out"))
+    callers = e.where("kind = 'calls'").select("src", "dst").repartition("dst").groupBy(F.col("dst").alias("at")).agg(F.count_distinct("src").alias("callers"))
+    out = e.select("src", "dst").repartition("src").groupBy(F.col("src").alias("of")).agg(F.count_distinct("dst").alias("fan_out"))
     n = nodes(spark, sf).where("kind = 'method'").select("id", (F.col("end_line") - F.col("start_line") + 1).alias("lines")).where("lines >= 20")
     j = n.join(callers, F.col("id") == F.col("at")).join(out, F.col("id") == F.col("of")).where("callers >= 2 and fan_out >= 5")
     return j.select("id", "lines", "callers", "fan_out", F.round(F.log1p("lines") * F.log1p("callers") * F.log1p("fan_out"), 6).alias("score"))
