@@ -208,18 +208,6 @@ def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, join: Joi
     return both.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(by_groups(groups, compared), f"a {kind}, b {kind}, key long, more boolean")
 
 
-def merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after the components of links(a, b) are joined: only the ends' labels take part in the stars."""
-    ends = links
-    for end in ("a", "b"):
-        known = labels.select(F.col("node").alias(f"node_{end}"), F.col("component").alias(f"c_{end}"))
-        ends = ends.join(known, F.col(end) == F.col(f"node_{end}"), "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
-    new = ends.select(F.col("a").alias("node"), F.col("c_a").alias("component")).union(ends.select(F.col("b"), F.col("c_b"))).distinct()
-    every = labels.unionByName(new.join(labels.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti"))
-    up = stars.components(spark, ends, "c_a", "c_b").withColumnsRenamed({"node": "from", "component": "to"})
-    return save(spark, every.join(up, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")), "minhash-labels")
-
-
 def components(spark: SparkSession, docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component) of every row of docs."""
     narrow = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
@@ -243,7 +231,7 @@ def components(spark: SparkSession, docs: DataFrame, near: Near = Near(), id_col
         pairs = save(spark, across(left, labels, flat_sketches(marks, "fine"), near.join, reach), "minhash-near")
         links = linking(spark, pairs.select("a", "b").distinct(), signatures, marks, near)
         if links.limit(1).count():
-            old, labels = labels, merged(spark, labels, links)
+            old, labels = labels, stars.merged(spark, labels, links)
             reclaim(spark, old)
         again = save(spark, pairs.where("more").select(F.col("key").alias("again")).distinct(), "minhash-again")
         reclaim(spark, pairs, links)

@@ -45,9 +45,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import stars
 from graphloom.llm.common import give_back, table
 from graphloom.llm.exact_dedup import heavy_winners
-from graphloom.operators.components import connected_components
 from graphloom.sources.storage import reclaim, save
 
 #: Bytes of text hashed at once.
@@ -471,17 +471,16 @@ def components(spark: SparkSession, docs: DataFrame, join: Join = Join(), id_col
     marks = save(spark, marked(narrow, ids, join), "ngram-marks")
     reclaim(spark, ids)
     most = members.where("id <> center").groupBy("id", "center", band_of(F.col("key")).alias("band")).agg(F.sum("words").alias("words"))
-    stars = most.groupBy("id").agg(F.max(F.struct("words", "center", "band")).alias("s")).select(F.col("s.center").alias("a"), F.col("id").alias("b"), F.col("s.band").alias("band"))
-    links, reach = linking(spark, stars, marks, join).unionByName(equal), REACH
-    labels = connected_components(spark, links)
+    nearest_centres = most.groupBy("id").agg(F.max(F.struct("words", "center", "band")).alias("s")).select(F.col("s.center").alias("a"), F.col("id").alias("b"), F.col("s.band").alias("band"))
+    links, reach = linking(spark, nearest_centres, marks, join).unionByName(equal), REACH
+    labels = stars.components(spark, links)
     left = members.select("key", "id")
     while True:
         reclaim(spark)
         near = save(spark, across(left, labels, marks, join, reach), "ngram-near")
         more = linking(spark, near.select("a", "b", band_of(F.col("key")).alias("band")).distinct(), marks, join)
         if more.limit(1).count():
-            links = links.unionByName(more)
-            old, labels = labels, connected_components(spark, links)
+            old, labels = labels, stars.merged(spark, labels, more)
             reclaim(spark, old)
         held = near.where("more")
         if not held.limit(1).count():

@@ -52,3 +52,15 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     out = save(spark, state.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(state.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()), "star-labels")
     reclaim(spark, state)
     return out
+
+
+def merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after the components of links(a, b) are joined: only the ends' labels take part in the stars."""
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(f"node_{end}"), F.col("component").alias(f"c_{end}"))
+        ends = ends.join(known, F.col(end) == F.col(f"node_{end}"), "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    new = ends.select(F.col("a").alias("node"), F.col("c_a").alias("component")).union(ends.select(F.col("b"), F.col("c_b"))).distinct()
+    every = labels.unionByName(new.join(labels.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti"))
+    up = components(spark, ends, "c_a", "c_b").withColumnsRenamed({"node": "from", "component": "to"})
+    return save(spark, every.join(up, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")), "star-merged")
