@@ -6,7 +6,7 @@ def test_bfs_and_edges_make_no_sort_of_lines(spark, sf):
     from graphloom.sources.fixture import edges
 
     plan = edges(spark, sf).where("kind = 'calls'")._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and plan.count("REPARTITION_BY_COL") >= 1
+    assert "SortAggregate" not in plan and plan.count("REPARTITION_BY_NUM") >= 1
 
 
 def test_insert_ignore_deals_edges_once(spark, sf):
