@@ -71,12 +71,14 @@ def bind(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Candidates are counted by key before sites meet them, so a site is joined with one row a scope, however frequent its name.
     """
     name = ["repo", "language", "owner", "name"]
-    edges = edges.select(*KEY, "origin", "confidence")
+    nodes = save(spark, nodes.select("id", "kind", "name", "file_path", "language", "repo_prefix", "owner"), "resolve-nodes")
+    edges = save(spark, edges.select(*KEY, "origin", "confidence"), "resolve-edges")  # read by every step, made once
     one = [F.count_distinct("id").alias("n"), F.min("id").alias("id")]
     symbols = save(spark, _symbols(nodes), "resolve-symbols")
     paths = nodes.where("kind = 'file' and id is not null").groupBy(F.coalesce("repo_prefix", F.lit("")).alias("repo"), F.col("file_path").alias("name")).agg(*one)
     files = save(spark, nodes.where("id is not null").groupBy("id").agg(F.min("file_path").alias("file")).where("file is not null"), "resolve-files")
     open_ = save(spark, _sites(nodes, edges), "resolve-sites")
+    given = edges.where((F.col("kind") == "imports") & ~ids.is_unresolved(F.col("dst"))).select("src", "dst")
     bound = []
 
     def met(sites, scope, by, found):
@@ -84,10 +86,10 @@ def bind(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return sites.join(hit, by, "left")
 
     def step(sites: DataFrame) -> DataFrame:
-        known = edges.where(~ids.is_unresolved(F.col("dst"))).select("src", "dst", "kind")
+        known = given
         for b in bound:
-            known = known.unionByName(b.select("src", F.col("id").alias("dst"), "kind"))
-        links = known.where("kind = 'imports'").join(files.select(F.col("id").alias("src"), "file"), "src").join(files.select(F.col("id").alias("dst"), F.col("file").alias("far")), "dst").select("file", "far").distinct()
+            known = known.unionByName(b.where("kind = 'imports'").select("src", F.col("id").alias("dst")))
+        links = known.join(files.select(F.col("id").alias("src"), "file"), "src").join(files.select(F.col("id").alias("dst"), F.col("file").alias("far")), "dst").select("file", "far").distinct()
         names = sites.where("class <> 'import'")
         asked = names.select(*name, "file").distinct().join(links, "file")
         near = symbols.groupBy(*name, F.col("file").alias("far")).agg(F.count_distinct("id").alias("m"), F.min("id").alias("id"))
@@ -116,7 +118,7 @@ def bind(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
             part = rest
         reclaim(spark, part)
     reclaim(spark, open_)
-    reclaim(spark, symbols, files)
+    reclaim(spark, symbols, files, nodes)
     if not bound:
         return edges.withColumn("scope", F.lit(None).cast("string"))
     done = bound[0]
@@ -129,7 +131,8 @@ def bind(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def name_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, verified, candidates) of symbols: edges that reach them, and open sites that name them, so that no callers isn't read as none."""
-    sites = _sites(nodes, edges).where("class <> 'import'").groupBy("repo", "language", "owner", "name").agg(F.count("*").alias("sites"))
+    # stored, or the condition on the class would be put before the sites are told apart, with the class spelled out in it many times
+    sites = save(edges.sparkSession, _sites(nodes, edges), "resolve-sites").where("class <> 'import'").groupBy("repo", "language", "owner", "name").agg(F.count("*").alias("sites"))
     open_ = _symbols(nodes).select("id", "repo", "language", "owner", "name").distinct().join(sites, ["repo", "language", "owner", "name"]).groupBy("id").agg(F.sum("sites").alias("candidates"))
     sure = edges.where(~ids.is_unresolved(F.col("dst"))).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("verified"))
     return open_.join(sure, "id", "left").select("id", F.coalesce("verified", F.lit(0)).alias("verified"), "candidates")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import resolve
 from graphloom.plans.query import query
 from graphloom.sources.fixture import read
+from graphloom.sources.storage import save
 
 #: Parts are members of their type in a file for each brand and type. A line's part calls the next line's by name: alone, of its type, or of any.
 #: The first lines of large quantity import the file of the next one.
@@ -33,8 +34,9 @@ def sites(spark, sf):
     met = line.join(p.select(F.col("p_partkey").alias("b"), "p_name", "p_type", file.alias("far")), "b").join(p.select(F.col("p_partkey").alias("a")), "a", "left_semi")
     flag = F.col("l_returnflag")
     name = F.when(flag == "R", F.col("p_name")).when(flag == "A", F.concat_ws("::", "p_type", "p_name")).otherwise(F.concat(F.lit("*."), "p_name"))
-    edge = lambda df, rest, kind: df.select(F.concat(F.lit("part/"), F.col("a").cast("string")).alias("src"), F.concat(F.lit(resolve.MARK), rest).alias("dst"), F.lit(kind).alias("kind"), "line").distinct()
-    both = edge(met, name, "calls").unionByName(edge(met.where("line = 1 and l_quantity >= 49"), F.concat(F.lit("import::"), "far"), "imports"))
+    edge = lambda rest, kind: F.struct(F.concat(F.lit("part/"), F.col("a").cast("string")).alias("src"), F.concat(F.lit(resolve.MARK), rest).alias("dst"), F.lit(kind).alias("kind"), "line")
+    imports = F.when((F.col("line") == 1) & (F.col("l_quantity") >= 49), edge(F.concat(F.lit("import::"), "far"), "imports"))
+    both = met.select(F.explode(F.array_compact(F.array(edge(name, "calls"), imports))).alias("e")).select("e.*").distinct()  # both kinds of one pass over the lines
     return nodes, both.withColumn("origin", F.lit("text_matched")).withColumn("confidence", F.lit(0.4))
 
 
@@ -67,4 +69,4 @@ SELECT s.id, coalesce(any_value(verified), 0) AS verified, count(*) AS candidate
 def name_only_candidates(spark, sf):
     """Parts with calls that are sure, and with open ones that name them."""
     nodes, edges = sites(spark, sf)
-    return resolve.name_only(nodes, resolve.bind(spark, nodes, edges))
+    return resolve.name_only(nodes, save(spark, resolve.bind(spark, nodes, edges), "resolve-out"))  # it is read twice

@@ -88,3 +88,14 @@ def test_census_and_odd_rows(spark):
     assert {tuple(r) for r in resolve.name_only(nodes, e).collect()} == {("t", 0, 4)}
     none = spark.createDataFrame([], EDGES)
     assert resolve.bind(spark, nodes, none).count() == resolve.census(none).count() == resolve.name_only(nodes, none).count() == 0
+
+
+def test_sites_read_the_lines_once_and_steps_read_stored_edges(spark, sf, monkeypatch):
+    from graphloom.plans import resolution
+
+    nodes, edges = resolution.sites(spark, sf)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("l_returnflag") and edges._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    stored, save = [], resolve.save
+    monkeypatch.setattr(resolve, "save", lambda s, df, label, *a: stored.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("lineitem"), "Window [" in df._jdf.queryExecution().optimizedPlan().toString())) or save(s, df, label, *a))
+    assert resolve.name_only(nodes, resolve.bind(spark, nodes, edges)).count() > 0
+    assert [label for label, _, lines in stored if lines] == ["resolve-edges"]
