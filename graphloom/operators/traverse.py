@@ -24,12 +24,15 @@ def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def bfs(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", kinds: tuple | None = None, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, depth, parent, kind): the edge that found a node is the one of least depth, then parent, then kind."""
+def bfs(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", kinds: tuple | None = None, nodes: DataFrame | None = None, anew: bool = False) -> DataFrame:
+    """(id, depth, parent, kind): the edge that found a node is the one of least depth, then parent, then kind.
+
+    With `anew`, for edges that are a mere projection, each level makes them again and none are stored.
+    """
     steps = directed(edges if kinds is None else edges.where(F.col("kind").isin(*kinds)), direction)
     if nodes is not None:
         steps = steps.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    steps = save(spark, steps, "steps") if depth > 1 else steps  # built once, read at each level; a step met twice finds its node once
+    steps = save(spark, steps, "steps") if depth > 1 and not anew else steps  # built once, read at each level; a step met twice finds its node once
     start = seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"))
     seen = frontier = save(spark, start, "bfs")
     first = Window.partitionBy("id").orderBy("parent", "kind")

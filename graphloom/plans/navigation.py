@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import traverse
 from graphloom.plans.graph import BFS_SQL
 from graphloom.plans.query import query
-from graphloom.sources.fixture import edges, nodes, read
+from graphloom.sources.fixture import edges, links, nodes, read
 
 USES = ("calls", "references")
 CUT_SQL = ", r AS (SELECT id, depth, row_number() OVER (ORDER BY depth, id) AS n, count(*) OVER () AS total FROM m WHERE depth > 0) SELECT id, depth, total > {limit} AS truncated FROM r WHERE n <= {limit}"
@@ -23,7 +23,7 @@ def _cut(found, limit):
 
 @query(BFS_SQL.format(a="dst", b="src", where="WHERE kind IN ('calls', 'references')", seed="id = 'supplier/2'", depth=2) + CUT_SQL.format(limit=50), graph=True)
 def get_callers(spark, sf):
-    return _cut(traverse.bfs(spark, edges(spark, sf), nodes(spark, sf).where("id = 'supplier/2'"), 2, "in", USES), 50)
+    return _cut(traverse.bfs(spark, links(spark, sf), nodes(spark, sf).where("id = 'supplier/2'"), 2, "in", USES, anew=True), 50)
 
 
 @query(BFS_SQL.format(a="src", b="dst", where="WHERE kind = 'calls'", seed="id LIKE 'customer/2_'", depth=3) + CUT_SQL.format(limit=200), graph=True)
@@ -90,7 +90,7 @@ SELECT id, depth, CAST(tokens AS BIGINT) AS tokens FROM r WHERE tokens <= 400"""
 def walk_budgeted(spark, sf):
     """A walk that ends where the estimate of what it shows passes 400 tokens; a node costs 28 bytes beside its names."""
     n = nodes(spark, sf).select("id", "name")
-    met = traverse.bfs(spark, edges(spark, sf), n.where("id = 'customer/2'"), 4, nodes=n).join(n, "id")
+    met = traverse.bfs(spark, links(spark, sf), n.where("id = 'customer/2'"), 4, nodes=n).join(n, "id")
     cost = F.expr("(length(id) + length(name) + 28) * 10 div 35")
     return met.select("id", "depth", F.sum(cost).over(Window.orderBy("depth", "id")).alias("tokens")).where("tokens <= 400")
 

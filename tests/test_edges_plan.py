@@ -15,3 +15,20 @@ def test_insert_ignore_deals_edges_once(spark, sf):
 
     plan = catalog.queries()["edge_insert_ignore"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(src" in plan and "hashpartitioning(src#" in plan.split("REPARTITION_BY_COL")[0]
+
+
+def test_walks_from_few_seeds_hold_no_lines(spark, sf, monkeypatch):
+    """The walk's steps are scanned rows: no exchange and no table of lines, and no copy of all steps is stored."""
+    from graphloom.operators import traverse
+    from graphloom.plans import catalog
+    from graphloom.sources.fixture import edges, links
+
+    plan = links(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert not links(spark, sf).distinct().exceptAll(edges(spark, sf).select("src", "dst", "kind").distinct()).count()
+    assert not edges(spark, sf).select("src", "dst", "kind").exceptAll(links(spark, sf)).count()
+    stored, save = [], traverse.save
+    monkeypatch.setattr(traverse, "save", lambda s, df, label: stored.append(label) or save(s, df, label))
+    for name in ("get_callers",):
+        assert catalog.queries()[name](spark, sf).count()
+    assert "steps" not in stored
