@@ -28,17 +28,17 @@ def get_callers(spark, sf):
 
 @query(BFS_SQL.format(a="src", b="dst", where="WHERE kind = 'calls'", seed="id LIKE 'customer/2_'", depth=3) + CUT_SQL.format(limit=200), graph=True)
 def get_call_chain(spark, sf):
-    return _cut(traverse.bfs(spark, edges(spark, sf), nodes(spark, sf).where("id like 'customer/2_'"), 3, "out", ("calls",)), 200)
+    return _cut(traverse.bfs(spark, links(spark, sf), nodes(spark, sf).where("id like 'customer/2_'"), 3, "out", ("calls",), anew=True), 200)
 
 
 @query(BFS_SQL.format(a="src", b="dst", where="WHERE kind IN ('calls', 'references', 'member_of')", seed="id = 'order/1'", depth=3) + CUT_SQL.format(limit=500), graph=True)
 def get_dependencies(spark, sf):
-    return _cut(traverse.bfs(spark, edges(spark, sf), nodes(spark, sf).where("id = 'order/1'"), 3, "out", (*USES, "member_of")), 500)
+    return _cut(traverse.bfs(spark, links(spark, sf), nodes(spark, sf).where("id = 'order/1'"), 3, "out", (*USES, "member_of"), anew=True), 500)
 
 
 @query(BFS_SQL.format(a="dst", b="src", where="WHERE kind IN ('calls', 'references', 'member_of')", seed="id = 'nation/3'", depth=2) + CUT_SQL.format(limit=500), graph=True)
 def get_dependents(spark, sf):
-    return _cut(traverse.bfs(spark, edges(spark, sf), nodes(spark, sf).where("id = 'nation/3'"), 2, "in", (*USES, "member_of")), 500)
+    return _cut(traverse.bfs(spark, links(spark, sf), nodes(spark, sf).where("id = 'nation/3'"), 2, "in", (*USES, "member_of"), anew=True), 500)
 
 
 @query("""SELECT e.dst AS target, e.src AS used_by, e.kind, e.line, n.file_path FROM edges e JOIN nodes n ON n.id = e.src JOIN nodes t ON t.id = e.dst WHERE t.kind IN ('method', 'type') AND e.kind IN ('calls', 'references', 'reads', 'writes', 'imports')""", graph=True)

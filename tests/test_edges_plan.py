@@ -29,6 +29,6 @@ def test_walks_from_few_seeds_hold_no_lines(spark, sf, monkeypatch):
     assert not edges(spark, sf).select("src", "dst", "kind").exceptAll(links(spark, sf)).count()
     stored, save = [], traverse.save
     monkeypatch.setattr(traverse, "save", lambda s, df, label: stored.append(label) or save(s, df, label))
-    for name in ("get_callers",):
+    for name in ("get_callers", "get_dependencies"):
         assert catalog.queries()[name](spark, sf).count()
     assert "steps" not in stored
