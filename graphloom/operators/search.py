@@ -72,7 +72,7 @@ def trigram_postings(docs: DataFrame, id_col: str, text: str, only: set[str] | N
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                found = [sorted(grams(t) if only is None else grams(t) & only) for t in part.column(1).to_pylist()]
+                found = [sorted(grams(t) if only is None else (g for g in only if t and g in t)) for t in part.column(1).to_pylist()]
                 row = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array([g for x in found for g in x], pa.string())], ["id", "gram"])
 

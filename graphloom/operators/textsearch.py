@@ -1,7 +1,8 @@
 """Lines that match a regular expression, found through stored trigram postings.
 
-The index is a folder: postings (gram, id, batch), parted by batch and by a hash of the gram, and owners (id,
-batch). Adding documents writes a new batch; of a document only its last batch counts, so that Add
+The index is a folder: postings (gram, ids, batch), parted by batch and by a hash of the gram, and owners (id,
+batch). A row of the postings has the ids of one block of documents, so that there are as many rows as blocks have
+grams, not as documents have. Adding documents writes a new batch; of a document only its last batch counts, so that Add
 replaces and an empty text removes. A search reads the parts of the grams that its expression
 needs and no others, then the texts of the candidates, which the expression itself decides on.
 """
@@ -12,15 +13,20 @@ import re
 from re import _constants as rc
 from re import _parser as rp
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.search import trigram_postings
+from graphloom.sources.storage import save
 
 #: Folders of a batch's postings, and files that each is written in, so that a frequent gram isn't one task's.
 PARTS, FILES = 64, 4
 #: Alternatives that an expression's grams are kept for; beyond, a part of it is left to the texts.
 MOST = 16
+#: Characters of a block of documents, unless one alone has more.
+CHARS = 2_000_000
 
 Needs = list[frozenset[str]]  # one of these sets of grams is in every text that matches; an empty set: any text can
 
@@ -29,6 +35,40 @@ def part_of(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(PARTS)).cast("int")
 
 
+def blocks(batches, chars: int):
+    """(gram, ids): the documents, (id, text), of each block of so many characters that hold a gram."""
+
+    def block(docs):
+        texts, n = docs.column(1).to_pylist(), len(docs)
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        known = np.flatnonzero(np.bincount(letters))  # the block's letters, numbered
+        if n > 1 and len(known) ** 3 * n >= 1 << 63:
+            yield from block(docs.slice(0, n // 2))
+            yield from block(docs.slice(n // 2))
+            return
+        doc = np.repeat(np.arange(n), [len(t) for t in texts])
+        number = np.zeros(known[-1] + 1, np.int64)
+        number[known] = np.arange(len(known))
+        at = number[letters]
+        gram = (at[:-2] * len(known) + at[1:-1]) * len(known) + at[2:]
+        pairs = np.sort((gram * n + doc[2:])[doc[:-2] == doc[2:]])
+        gram, doc = np.divmod(pairs[np.diff(pairs, prepend=-1) != 0], n)
+        if len(gram):
+            starts = np.flatnonzero(np.append(True, np.diff(gram) != 0))
+            first, last = np.divmod(gram[starts], len(known) ** 2), len(known)
+            three = known[np.stack([first[0], first[1] // last, first[1] % last], 1)].astype(np.uint32).tobytes().decode("utf-32-le")
+            ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(gram)), pa.int32()), docs.column(0).take(pa.array(doc)))
+            yield pa.RecordBatch.from_arrays([pa.array([three[i : i + 3] for i in range(0, len(three), 3)], pa.string()), ids], ["gram", "ids"])
+
+    for batch in batches:
+        batch = batch.filter(pc.greater(pc.utf8_length(batch.column(1)), 2))  # no null either
+        if len(batch):
+            part = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(), dtype=np.int64) // chars
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from block(batch.slice(a, b - a))
+
+
 def batches(spark: SparkSession, index: str) -> int:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{index}/owners")
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -40,8 +80,9 @@ def add(spark: SparkSession, index: str, docs: DataFrame, id_col: str = "id", te
     n = batches(spark, index)
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).where("id is not null")
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    flat = trigram_postings(rows.select("id", low.alias("text")), "id", "text").withColumn("part", part_of(F.col("gram")))
-    flat = flat.repartition("part", F.pmod(F.xxhash64("id"), F.lit(FILES))).sortWithinPartitions("part", "gram", "id")
+    chars = CHARS
+    made = rows.select("id", low.alias("text")).mapInArrow(lambda texts: blocks(texts, chars), f"gram string, ids array<{dict(rows.dtypes)['id']}>")
+    flat = made.withColumn("part", part_of(F.col("gram"))).repartition("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(FILES))).sortWithinPartitions("part", "gram")
     flat.write.mode("overwrite").partitionBy("part").parquet(f"{index}/postings/batch={n}")
     rows.select("id").write.mode("overwrite").parquet(f"{index}/owners/batch={n}")  # last: a batch without owners doesn't exist
 
@@ -103,10 +144,11 @@ def candidates(spark: SparkSession, index: str, pattern: str) -> DataFrame | Non
     parts = [r["p"] for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select(part_of(F.col("gram")).alias("p")).distinct().collect()]
     owners = spark.read.parquet(f"{index}/owners").groupBy("id").agg(F.max("batch").alias("last"))
     hits = spark.read.parquet(f"{index}/postings").where(F.col("part").isin(parts) & F.col("gram").isin(wanted))
-    has = hits.groupBy("id", "batch").agg(F.collect_set("gram").alias("grams"))  # no more than the expression has
+    held = [F.count_if(F.col("gram").isin(sorted(way))).alias(f"w{i}") for i, way in enumerate(ways)]  # a gram has an id once
+    has = hits.select("gram", F.explode("ids").alias("id"), "batch").groupBy("id", "batch").agg(*held)
     full = F.lit(False)
-    for way in ways:
-        full = full | (F.size(F.array_except(F.array(*map(F.lit, sorted(way))), "grams")) == 0)
+    for i, way in enumerate(ways):
+        full = full | (F.col(f"w{i}") >= len(way))
     return has.where(full).join(owners, "id").where("batch = last").select("id")
 
 
@@ -115,7 +157,7 @@ def search(spark: SparkSession, index: str | None, docs: DataFrame, pattern: str
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     some = candidates(spark, index, pattern) if index else None
     if some is not None:
-        rows = rows.join(some, "id", "left_semi")
+        rows = rows.join(save(spark, some, "candidates"), "id", "left_semi")  # of known size, so that texts aren't dealt for a few ids
     lines = rows.select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).where(F.col("text").rlike(pattern))
     out = lines.select("id", (F.col("at") + 1).alias("line"), "text")
     return out if limit is None else out.orderBy("id", "line").limit(limit)

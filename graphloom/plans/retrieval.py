@@ -63,8 +63,8 @@ def regexp_search(spark, sf):
     docs = read(spark, sf, "documents")
     index = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex[:12]}"
     textsearch.add(spark, index, docs, "doc_id")
-    found = textsearch.search(spark, index, docs, LICENCES, "doc_id")
-    lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n")).join(found.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    found = save(spark, textsearch.search(spark, index, docs, LICENCES, "doc_id"), "found")
+    lines = docs.join(found.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"))
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     blocks = lines.select(path.alias("path"), "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 10))).alias("k"))
     symbols = blocks.select("path", F.concat_ws("#", "path", F.col("k").cast("string")).alias("id"), (F.col("k") * 10 + 1).alias("start"), F.least(F.col("k") * 10 + 10, "n").alias("stop"))

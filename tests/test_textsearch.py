@@ -63,3 +63,24 @@ def test_search_without_documents(spark, tmp_path, limit):
     none = spark.createDataFrame([], "id long, text string")
     textsearch.add(spark, str(tmp_path / "i"), none)
     assert textsearch.search(spark, None, none, "abc", limit=limit).count() == 0
+
+
+def test_postings_by_block(spark, tmp_path, monkeypatch):
+    """A gram has one row for each block that holds it, and all its documents there; blocks are cut anywhere between texts."""
+    import pyarrow as pa
+
+    from graphloom.operators.search import grams
+
+    rng = random.Random(9)
+    letters = "abc é\U0001f600\n\x00中"
+    docs = [(f"d{i}", None if i % 17 == 3 else "".join(rng.choice(letters) for _ in range(rng.randrange(30)))) for i in range(80)]
+    want = {(g, i) for i, t in docs for g in grams(t)}
+    whole = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs], pa.string())], ["id", "text"])
+    for chars in (1, 50, 1 << 20):
+        out = [r for b in textsearch.blocks((whole.slice(0, 40), whole.slice(40)), chars) for r in b.to_pylist()]
+        assert sorted((r["gram"], i) for r in out for i in r["ids"]) == sorted(want), chars
+    same = spark.createDataFrame([(i, "the very same text") for i in range(200)], "id long, text string").coalesce(1)
+    textsearch.add(spark, str(tmp_path / "i"), same)
+    rows = spark.read.parquet(str(tmp_path / "i/postings"))
+    assert rows.count() == len(grams("the very same text")) and rows.selectExpr("min(size(ids))").first()[0] == 200
+    assert textsearch.candidates(spark, str(tmp_path / "i"), "very same").count() == 200
